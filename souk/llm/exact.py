@@ -137,7 +137,7 @@ def _mark(df: DataFrame, doc_id: str, text: str, everything: bool) -> tuple[Data
                 if briefs[i] is not None:
                     hit = next(f for f in firsts if blake2b(f[1], digest_size=16).digest() == briefs[i]) if len(firsts) > 1 else firsts[0]
                 else:
-                    raw = memoryview(texts[i].as_buffer())
+                    raw = memoryview(texts[i].as_buffer()).cast("B")
                     hit = next((f for f in firsts if same(f[1], raw)), None)
                 if hit is None:
                     firsts.append((ids[i], bytes(raw)))
