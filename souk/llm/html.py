@@ -1,8 +1,8 @@
 """Main-text extraction by composite text density.
 
 For every DOM node the characters a tag, lowered by the share of link characters and link tags, are its
-density. The node whose children's densities have the largest sum holds the article; the lowest density
-on its path up to the body is the threshold at which other subtrees count as content too.
+density. The node whose children's densities have the largest sum holds the article; blocks in it whose
+density falls below the lowest one on its path up to the body (link lists, share bars) are left out.
 """
 
 from __future__ import annotations
@@ -125,39 +125,21 @@ def densities(dom: Dom) -> tuple[list[float], list[float]]:
     return density, total
 
 
-def content(dom: Dom) -> list[int]:
-    """The roots of the content subtrees, in document order."""
+def content(dom: Dom) -> tuple[int, set[int]]:
+    """(root of the content subtree, roots of the block subtrees in it that fall below the threshold).
+
+    The root has the largest sum of its children's densities (ties: the first; without any sum, the body).
+    The threshold is the lowest density from it up to the body.
+    """
     density, total = densities(dom)
     b = dom.body
     best = max(range(b, dom.last[b] + 1), key=lambda v: total[v])
-    if total[best] <= 0:
-        return [b] if density[b] > 0 else []
     v, threshold = best, density[best]
     while v != b:
         v = dom.parent[v]
         threshold = min(threshold, density[v])
-    out, marked, stack = [best], {best}, [b]
-    child: dict[int, list[int]] = {}
-    for v in range(b + 1, dom.last[b] + 1):
-        child.setdefault(dom.parent[v], []).append(v)
-    while stack:
-        v = stack.pop()
-        if v in marked or density[v] < threshold or density[v] <= 0:
-            continue
-        if not (v <= best <= dom.last[v]):
-            inner = max(range(v, dom.last[v] + 1), key=lambda x: total[x])
-            inner = inner if total[inner] > 0 else v
-            out.append(inner)
-            marked.add(inner)
-            if inner == v:
-                continue
-        stack.extend(c for c in child.get(v, ()))
-    out.sort()
-    kept: list[int] = []
-    for v in out:
-        if not kept or v > dom.last[kept[-1]]:
-            kept.append(v)
-    return kept
+    below = {v for v in range(best + 1, dom.last[best] + 1) if dom.tag[v] in _BLOCK and density[v] < threshold}
+    return best, below
 
 
 def extract(html: str | None) -> str | None:
@@ -165,18 +147,15 @@ def extract(html: str | None) -> str | None:
     if html is None:
         return None
     dom = Dom(html)
-    roots = content(dom)
-    block_of: list[int] = [0] * len(dom.tag)
+    root, below = content(dom)
+    block_of, out = [0] * len(dom.tag), [False] * len(dom.tag)
     for v in range(1, len(dom.tag)):
         block_of[v] = v if dom.tag[v] in _BLOCK else block_of[dom.parent[v]]
+        out[v] = v in below or out[dom.parent[v]]
     lines: list[list[str]] = []
-    at, k = None, 0
+    at = None
     for v, text in dom.texts:
-        while k < len(roots) and v > dom.last[roots[k]]:
-            k += 1
-        if k == len(roots):
-            break
-        if v < roots[k]:
+        if not root <= v <= dom.last[root] or out[v]:
             continue
         if block_of[v] != at:
             lines.append([])
