@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.functions.columns import record_hash
-from souk.sources.contracts import Contract
+from souk.sources.contracts import Contract, schema_of
 from souk.sources.files import CORRUPT, read_csv
 from souk.sources.store import TableStore
 
-AUDIT = T.StructType.fromDDL("run_id string, source_name string, target string, status string, started_at timestamp, ended_at timestamp, rows_read bigint, rows_written bigint, rows_quarantined bigint, source_file_hash string, error_message string")
+AUDIT = schema_of("run_id string, source_name string, target string, status string, started_at timestamp, ended_at timestamp, rows_read bigint, rows_written bigint, rows_quarantined bigint, source_file_hash string, error_message string")
 ERROR_CHARS = 4000
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from souk.sources.contracts import schema_of
 from souk.sources.store import TableStore
 
 NOT_NULL, UNIQUE, ACCEPTED, BETWEEN = "NOT_NULL", "UNIQUE", "ACCEPTED_VALUES", "BETWEEN"
@@ -67,7 +68,7 @@ class Result:
     evaluated_at: datetime
 
 
-RESULTS = T.StructType.fromDDL("run_id string, dataset string, expectation string, rule string, severity string, failed_rows bigint, total_rows bigint, failure_rate double, max_failure_rate double, passed boolean, evaluated_at timestamp")
+RESULTS = schema_of("run_id string, dataset string, expectation string, rule string, severity string, failed_rows bigint, total_rows bigint, failure_rate double, max_failure_rate double, passed boolean, evaluated_at timestamp")
 
 
 def failures(df: DataFrame, expectations: list[Expectation], dataset: str) -> DataFrame:

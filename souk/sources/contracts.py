@@ -6,6 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+_NAMES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "map<string;string>": T.MapType(T.StringType(), T.StringType())}
+
+
+def schema_of(ddl: str) -> T.StructType:
+    """A schema from "name type, .."; unlike Spark's own parser it needs no session."""
+    return T.StructType([T.StructField(n, _NAMES[t]) for n, t in (f.split() for f in ddl.split(","))])
+
+
 _TYPES = {"s": T.StringType(), "i": T.IntegerType(), "m": T.DecimalType(18, 2), "d": T.DoubleType(), "t": T.TimestampType()}
 
 
@@ -74,8 +82,8 @@ def contract(name: str) -> Contract:
 
 
 EVENT_VERSION = "1.0.0"
-DELIVERY_EVENT = T.StructType.fromDDL("schema_version string, event_id string, order_id string, status string, occurred_at timestamp, produced_at timestamp, location_state string, carrier_code string, sequence_number int, attributes map<string,string>")
-CLICK_EVENT = T.StructType.fromDDL("schema_version string, event_id string, user_id string, anonymous_id string, session_source_id string, event_type string, occurred_at timestamp, product_id string, order_id string, device_type string, traffic_source string")
+DELIVERY_EVENT = schema_of("schema_version string, event_id string, order_id string, status string, occurred_at timestamp, produced_at timestamp, location_state string, carrier_code string, sequence_number int, attributes map<string;string>")
+CLICK_EVENT = schema_of("schema_version string, event_id string, user_id string, anonymous_id string, session_source_id string, event_type string, occurred_at timestamp, product_id string, order_id string, device_type string, traffic_source string")
 
 ORDER_STATUSES = ("created", "approved", "invoiced", "processing", "shipped", "delivered", "unavailable", "canceled")
 #: key, status, group

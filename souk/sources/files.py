@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from souk.sources.contracts import CONTRACTS, Contract
+from souk.sources.contracts import CONTRACTS, Contract, schema_of
 
 CORRUPT = "_corrupt_record"
-ENVELOPE = T.StructType.fromDDL("value string, topic string, partition bigint, offset bigint, timestamp timestamp")
+ENVELOPE = schema_of("value string, topic string, partition bigint, offset bigint, timestamp timestamp")
 
 
 def read_csv(spark: SparkSession, path: str, contract: Contract) -> DataFrame:

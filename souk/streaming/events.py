@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from souk.sources.contracts import CLICK_EVENT, CLICK_TYPES, DELIVERY_EVENT, DELIVERY_RANKS, EVENT_VERSION
+from souk.sources.contracts import CLICK_EVENT, CLICK_TYPES, DELIVERY_EVENT, DELIVERY_RANKS, EVENT_VERSION, schema_of
 from souk.sources.store import TableStore
 
 BAD = "_malformed"
@@ -117,7 +117,7 @@ class Outcome:
     error_message: str | None = None
 
 
-OUTCOMES = T.StructType.fromDDL("run_id string, query_name string, query_id string, source string, status string, recorded_at timestamp, batch_id bigint, input_rows bigint, input_rows_per_second double, processed_rows_per_second double, error_message string")
+OUTCOMES = schema_of("run_id string, query_name string, query_id string, source string, status string, recorded_at timestamp, batch_id bigint, input_rows bigint, input_rows_per_second double, processed_rows_per_second double, error_message string")
 
 
 def outcome(query: StreamingQuery, run_id: str, source: str) -> Outcome:
