@@ -22,6 +22,8 @@ CAPACITY = 1 << 16
 LEVEL = 3
 #: Distinct words a task holds before it hands its counts on.
 HELD = 400_000
+#: Bytes of labelled ids up to which they are broadcast.
+BROADCAST = 64 << 20
 #: A match costs about this many bytes, so shorter words save nothing.
 COST = 3
 
@@ -101,7 +103,9 @@ def scored(docs: DataFrame, in_domain: bytes, general: bytes, level: int = LEVEL
 def models(documents: DataFrame, labels: DataFrame, capacity: int = CAPACITY) -> tuple[bytes, bytes]:
     """The (in-domain, general) dictionaries: words counted over every document, in-domain those labelled quality 1 in any row."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good")).distinct()
-    met = documents.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good"), "left").select("text", F.col("good").isNotNull().alias("is_in"))
+    # the ids of labelled documents travel to the texts while they fit a worker; beyond that both sides are shuffled by id
+    fits = good.count() * 16 <= BROADCAST
+    met = documents.select("doc_id", "text").join(F.broadcast(good) if fits else good.hint("merge"), F.col("doc_id") == F.col("good"), "left").select("text", F.col("good").isNotNull().alias("is_in"))
     counts = table(word_counts(met), "words")
     return dictionary(counts, "n_in", capacity), dictionary(counts, "n_all", capacity)
 
