@@ -110,12 +110,13 @@ def cut_out(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) ->
     spans, key = free_name(df, "spans"), free_name(df, "span_of")
     found = repeats(df, doc_id, text, **how).groupBy("doc_id").agg(F.collect_list("span").alias(spans)).withColumnRenamed("doc_id", key)
     met = df.join(found, df[doc_id] == found[key], "left").select(*[df[c] for c in df.columns], F.col(spans))
-    at = df.columns.index(text)
+    names = df.columns
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for i, where in enumerate(batch.column(len(df.columns)).to_pylist()):
+            for i, where in enumerate(batch.column(len(names)).to_pylist()):
                 if where and texts[i]:
                     raw, last, kept = texts[i].encode(), 0, []
                     for b, e in sorted(tuple(map(int, s.split("-"))) for s in where):
@@ -124,6 +125,6 @@ def cut_out(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) ->
                     texts[i] = b"".join([*kept, raw[last:]]).decode(errors="ignore")
             columns = list(batch.columns)[:-1]
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=df.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return arrow(met, run, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]))
