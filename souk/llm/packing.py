@@ -179,7 +179,8 @@ def queues(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 
     counted = T.StructType([kind, T.StructField("source", T.StringType()), T.StructField("tokens", T.LongType())])
     placed = T.StructType([*counted.fields, T.StructField("begin", T.LongType()), T.StructField("part", T.IntegerType())])
-    some = arrow(given, count, counted).filter("tokens > 0")
+    # written first, as partitioning by range reads its input once more for the bounds
+    some = table(arrow(given, count, counted).filter("tokens > 0"), "counted")
     local = table(arrow(some.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id", "tokens"), running, placed), "queues")
     totals = local.groupBy("part", "source").agg(F.sum("tokens").alias("n"))
     before = totals.select(F.col("part").alias("p"), F.col("source").alias("s"), F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
