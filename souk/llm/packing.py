@@ -89,6 +89,9 @@ def schedule(tokens: dict, weights: dict, size: int = WINDOW) -> dict[object, li
             at[s] += n
             left[s] -= n
         window += rounds
+        if not all(left.values()):  # a source ended with a window
+            left = {s: n for s, n in left.items() if n}
+            continue
         # the window in which a source ends: its share goes round among those that still have tokens
         take = {s: min(quota[s], left[s]) for s in left}
         room = size - sum(take.values())
