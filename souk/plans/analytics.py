@@ -182,3 +182,29 @@ def risk_class(sla: Column) -> Column:
 def percent_delta(current: Column, previous: Column) -> Column:
     """The change in percent; 0 where there was nothing before."""
     return F.when(previous == 0, F.lit(0.0)).otherwise(F.try_divide((current - previous).cast("double"), previous.cast("double")) * 100)
+
+
+def top_by(df: DataFrame, group: str, measure: str, n: int) -> DataFrame:
+    """The n rows of each group with the largest measure (ties beyond are cut by the other columns)."""
+    order = W.partitionBy(group).orderBy(F.desc(measure), *[c for c in df.columns if c not in (group, measure)])
+    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def latest_checks(results: DataFrame) -> DataFrame:
+    """The results of each dataset's latest evaluation."""
+    return results.withColumn("_last", F.max("evaluated_at").over(W.partitionBy("dataset"))).filter("evaluated_at = _last").drop("_last")
+
+
+def region_share(regions: DataFrame, state: str) -> DataFrame:
+    """A state's part of each year's revenue."""
+    return regions.groupBy("year").agg(ratio_of_money(F.sum(F.when(F.col("state") == state, F.col("gmv"))), F.sum("gmv")).alias("share"))
+
+
+def ratio_of_money(a: Column, b: Column) -> Column:
+    """a / b of amounts, to six places; null where b is 0 or null."""
+    return F.try_divide(a.cast("double"), b.cast("double")).cast("decimal(9,6)")
+
+
+def quality_score(results: DataFrame) -> DataFrame:
+    """One row: the mean share of rows that pass, over each dataset's latest checks."""
+    return latest_checks(results).agg(F.avg(1 - F.col("failure_rate")).alias("score"))
