@@ -26,8 +26,9 @@ SPAN = 16
 BITS = 5
 #: A cut less than this after another one is none; chunks longer than MOST are divided.
 LEAST, MOST = 8, 256
-#: Repeated spans shorter than this many bytes are no passages (a licence line, a common phrase).
-RUN = 64
+#: Repeated spans shorter than this many bytes are no passages (a licence line, a shared sentence or two): chunk ends take up to
+#: some 100 bytes off either end of a repeat, so a passage of 50 words, 300 bytes, still leaves more in all but 2 % of cases.
+RUN = 128
 
 _GEAR = (mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) >> U(48)).astype(np.uint16)
 
