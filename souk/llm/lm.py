@@ -104,7 +104,7 @@ def models(documents: DataFrame, labels: DataFrame, capacity: int = CAPACITY) ->
     """The (in-domain, general) dictionaries: words counted over every document, in-domain those labelled quality 1 in any row."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good")).distinct()
     # the ids of labelled documents travel to the texts while they fit a worker; beyond that both sides are shuffled by id
-    fits = good.count() * 16 <= BROADCAST
+    fits = good.count() * 64 <= BROADCAST
     met = documents.select("doc_id", "text").join(F.broadcast(good) if fits else good.hint("merge"), F.col("doc_id") == F.col("good"), "left").select("text", F.col("good").isNotNull().alias("is_in"))
     counts = table(word_counts(met), "words")
     return dictionary(counts, "n_in", capacity), dictionary(counts, "n_all", capacity)
