@@ -15,7 +15,7 @@ from souk.sources.contracts import Contract, schema_of
 from souk.sources.files import CORRUPT, read_csv
 from souk.sources.store import TableStore
 
-AUDIT = schema_of("run_id string, source_name string, target string, status string, started_at timestamp, ended_at timestamp, rows_read bigint, rows_written bigint, rows_quarantined bigint, source_file_hash string, error_message string")
+AUDIT = schema_of("run_id string, source_name string, target string, source_file_hash string, status string, started_at timestamp, ended_at timestamp, rows_quarantined bigint, rows_written bigint, rows_read bigint, error_message string")
 ERROR_CHARS = 4000
 
 
@@ -24,13 +24,13 @@ class Audit:
     run_id: str
     source_name: str
     target: str
+    source_file_hash: str
     status: str
     started_at: datetime
     ended_at: datetime
-    rows_read: int
-    rows_written: int
-    rows_quarantined: int
-    source_file_hash: str
+    rows_quarantined: int = 0
+    rows_written: int = 0
+    rows_read: int = 0
     error_message: str | None = None
 
 
@@ -86,9 +86,9 @@ def ingest(spark: SparkSession, store: TableStore, path: str, contract: Contract
             written = store.insert_absent(target, valid.drop(CORRUPT), ["_source_file_hash", "_record_hash"])
         finally:
             rich.unpersist()
-        audit = Audit(run_id, contract.name, target, "SUCCEEDED", started, datetime.now(UTC), read, written, quarantined, file_hash)
+        audit = Audit(run_id, contract.name, target, file_hash, "SUCCEEDED", started, datetime.now(UTC), quarantined, written, read)
     except Exception as e:
-        append_audit(store, Audit(run_id, contract.name, target, "FAILED", started, datetime.now(UTC), 0, 0, 0, file_hash, f"{type(e).__name__}: {e}"[:ERROR_CHARS]))
+        append_audit(store, Audit(run_id, contract.name, target, file_hash, "FAILED", started, datetime.now(UTC), error_message=f"{type(e).__name__}: {e}"[:ERROR_CHARS]))
         raise
     append_audit(store, audit)
     return audit

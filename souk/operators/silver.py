@@ -8,125 +8,114 @@ from pyspark.sql import functions as F
 from souk.functions.columns import norm_text, seconds_between
 from souk.sources.contracts import ORDER_STATUSES
 
-TECHNICAL = ("_run_id", "_ingested_at", "_source_file_hash", "_record_hash")
+TECHNICAL = frozenset(f"_{c}" for c in "run_id ingested_at source_file_hash record_hash".split())
+_KINDS = {"text": norm_text, "trim": F.trim, "code": lambda c: F.upper(F.trim(c)), "money": lambda c: F.col(c).cast("decimal(18,2)"), "int": lambda c: F.col(c).cast("int"), "double": lambda c: F.col(c).cast("double"), "as": F.col}
 
 
-def _technical(df: DataFrame) -> list[Column]:
-    return [F.col(c) for c in TECHNICAL if c in df.columns]
+def shaped(df: DataFrame, spec: str, *more: Column, prefix: str = "") -> DataFrame:
+    """A projection written as lines ``target kind source``; a line of one name keeps that column.
 
+    ``prefix`` goes before each source. Then come ``more`` and the technical columns that ``df`` has.
+    """
+    out = []
+    for line in filter(None, (x.strip() for x in spec.splitlines())):
+        if " " not in line:
+            out.append(F.col(line))
+            continue
+        target, kind, source = line.split()
+        out.append(_KINDS[kind](prefix + source).alias(target))
+    return df.select(*out, *more, *[c for c in df.columns if c in TECHNICAL])
 
-def _place(df: DataFrame, who: str) -> list[Column]:
-    return [F.col(f"{who}_zip_code_prefix").cast("int").alias("zip_code_prefix"), norm_text(f"{who}_city").alias("city"), F.upper(F.trim(f"{who}_state")).alias("state")]
+
+_PLACE = """
+    zip_code_prefix int zip_code_prefix
+    city text city
+    state code state"""
 
 
 def customers(df: DataFrame) -> DataFrame:
-    return df.select("customer_id", "customer_unique_id", *_place(df, "customer"), *_technical(df))
+    keys = [F.col(f"customer_{k}") for k in ("id", "unique_id")]
+    return shaped(df, _PLACE, *keys, prefix="customer_")
 
 
 def sellers(df: DataFrame) -> DataFrame:
-    return df.select("seller_id", *_place(df, "seller"), *_technical(df))
+    return shaped(df, _PLACE, F.col("seller_id"), prefix="seller_")
 
 
 def products(df: DataFrame) -> DataFrame:
     """A missing category is ``unknown``; the volume is computed in longs, as the product of three ints may not fit one."""
     sides = [F.col(f"product_{s}_cm").cast("long") for s in ("length", "height", "width")]
-    renamed = {"product_name_lenght": "product_name_length", "product_description_lenght": "product_description_length", "product_photos_qty": "product_photos_quantity"}
-    renamed |= {f"product_{c}": c for c in ("weight_g", "length_cm", "height_cm", "width_cm")}
-    return df.select(
-        "product_id",
-        F.coalesce(norm_text("product_category_name"), F.lit("unknown")).alias("category_name"),
-        *[F.col(a).cast("int").alias(b) for a, b in renamed.items()],
-        (sides[0] * sides[1] * sides[2]).alias("volume_cm3"),
-        *_technical(df),
-    )
+    measures = """
+        weight_g int weight_g
+        length_cm int length_cm
+        height_cm int height_cm
+        width_cm int width_cm
+        product_photos_quantity int photos_qty
+        product_name_length int name_lenght
+        product_description_length int description_lenght"""
+    name = F.coalesce(norm_text("product_category_name"), F.lit("unknown"))
+    return shaped(df, measures, F.col("product_id"), name.alias("category_name"), (sides[0] * sides[1] * sides[2]).alias("volume_cm3"), prefix="product_")
 
 
 def orders(df: DataFrame) -> DataFrame:
     """Lead times, delay in calendar days, and whether delivery was on time: null while it isn't delivered."""
-    status, bought = F.lower(F.trim("order_status")), F.col("order_purchase_timestamp")
-    approved, delivered, estimated = F.col("order_approved_at"), F.col("order_delivered_customer_date"), F.col("order_estimated_delivery_date")
-    delay = F.datediff(F.to_date(delivered), F.to_date(estimated))
-    return df.select(
-        "order_id",
-        "customer_id",
-        status.alias("order_status"),
-        bought.alias("purchased_at"),
-        approved.alias("approved_at"),
-        F.col("order_delivered_carrier_date").alias("handed_to_carrier_at"),
-        delivered.alias("delivered_at"),
-        estimated.alias("estimated_delivery_at"),
-        (seconds_between(approved, bought) / F.lit(3600.0)).alias("approval_lead_hours"),
-        (seconds_between(delivered, bought) / F.lit(86400.0)).alias("delivery_lead_days"),
-        delay.alias("delivery_delay_days"),
-        (delay <= 0).alias("is_delivered_on_time"),
-        status.isin(*ORDER_STATUSES).alias("is_valid_status"),
-        (status == "delivered").alias("is_delivered"),
-        status.isin("canceled", "unavailable").alias("is_terminal_failure"),
-        *_technical(df),
-    )
+    moments = """
+        purchased_at as order_purchase_timestamp
+        approved_at as order_approved_at
+        delivered_at as order_delivered_customer_date
+        estimated_delivery_at as order_estimated_delivery_date
+        handed_to_carrier_at as order_delivered_carrier_date
+        order_id
+        customer_id"""
+    known = shaped(df, moments, F.lower(F.trim("order_status")).alias("order_status"))
+    due, at = F.col("estimated_delivery_at"), F.col("delivered_at")
+    since = {c: seconds_between(F.col(c), F.col("purchased_at")) for c in ("approved_at", "delivered_at")}
+    late = known.withColumns({"delivery_delay_days": F.datediff(F.to_date(at), F.to_date(due)), "approval_lead_hours": since["approved_at"] / F.lit(3600.0), "delivery_lead_days": since["delivered_at"] / F.lit(86400.0)})
+    failed = F.col("order_status").isin("unavailable", "canceled")
+    flags = {"is_delivered": F.col("order_status") == "delivered", "is_terminal_failure": failed, "is_valid_status": F.col("order_status").isin(*ORDER_STATUSES), "is_delivered_on_time": F.col("delivery_delay_days") <= 0}
+    return late.withColumns(flags)
 
 
 def order_items(df: DataFrame) -> DataFrame:
-    price, freight = F.col("price").cast("decimal(18,2)"), F.col("freight_value").cast("decimal(18,2)")
-    return df.select(
-        "order_id",
-        F.col("order_item_id").cast("int").alias("order_item_id"),
-        "product_id",
-        "seller_id",
-        F.col("shipping_limit_date").alias("shipping_limit_at"),
-        price.alias("item_amount"),
-        freight.alias("freight_amount"),
-        (price + freight).cast("decimal(18,2)").alias("gross_amount"),
-        ((price >= 0) & (freight >= 0)).alias("has_valid_amount"),
-        *_technical(df),
-    )
+    lines = """
+        order_id
+        order_item_id int order_item_id
+        seller_id
+        product_id
+        item_amount money price
+        freight_amount money freight_value
+        shipping_limit_at as shipping_limit_date"""
+    both = [F.col("item_amount"), F.col("freight_amount")]
+    return shaped(df, lines).withColumns({"gross_amount": (both[0] + both[1]).cast("decimal(18,2)"), "has_valid_amount": F.least(*both) >= 0})
 
 
 def payments(df: DataFrame) -> DataFrame:
-    amount, installments = F.col("payment_value").cast("decimal(18,2)"), F.col("payment_installments").cast("int")
-    return df.select(
-        "order_id",
-        F.col("payment_sequential").cast("int").alias("payment_sequence"),
-        norm_text("payment_type").alias("payment_type"),
-        installments.alias("installments"),
-        amount.alias("payment_amount"),
-        ((amount >= 0) & (installments >= 0)).alias("has_valid_payment"),
-        *_technical(df),
-    )
+    lines = """
+        payment_amount money value
+        payment_sequence int sequential
+        installments int installments
+        payment_type text type"""
+    valid = (F.col("installments") >= 0) & (F.col("payment_amount") >= 0)
+    return shaped(df, lines, F.col("order_id"), prefix="payment_").withColumn("has_valid_payment", valid)
 
 
 def reviews(df: DataFrame) -> DataFrame:
-    score = F.col("review_score").cast("int")
-    return df.select(
-        "review_id",
-        "order_id",
-        score.alias("review_score"),
-        F.trim("review_comment_title").alias("review_title"),
-        F.trim("review_comment_message").alias("review_message"),
-        F.col("review_creation_date").alias("review_created_at"),
-        F.col("review_answer_timestamp").alias("review_answered_at"),
-        score.between(1, 5).alias("has_valid_score"),
-        *_technical(df),
-    )
+    lines = """
+        review_title trim comment_title
+        review_message trim comment_message
+        review_score int score
+        review_answered_at as answer_timestamp
+        review_created_at as creation_date"""
+    return shaped(df, lines, F.col("order_id"), F.col("review_id"), prefix="review_").withColumn("has_valid_score", F.col("review_score").between(1, 5))
 
 
 def category_translation(df: DataFrame) -> DataFrame:
-    return df.select(norm_text("product_category_name").alias("category_name"), norm_text("product_category_name_english").alias("category_name_english"), *_technical(df))
+    return shaped(df, "category_name_english text name_english\ncategory_name text name", prefix="product_category_")
 
 
 def geography(df: DataFrame) -> DataFrame:
     """A row for each zip prefix: lower medians of the coordinates (1 in 10,000), the most frequent city and state (ties: the least)."""
-    rows = df.select(
-        F.col("geolocation_zip_code_prefix").cast("int").alias("zip_code_prefix"),
-        F.col("geolocation_lat").cast("double").alias("latitude"),
-        F.col("geolocation_lng").cast("double").alias("longitude"),
-        norm_text("geolocation_city").alias("city"),
-        F.upper(F.trim("geolocation_state")).alias("state"),
-    )
-    return rows.groupBy("zip_code_prefix").agg(
-        F.percentile_approx("latitude", 0.5, 10_000).alias("latitude"),
-        F.percentile_approx("longitude", 0.5, 10_000).alias("longitude"),
-        F.mode("city", True).alias("city"),
-        F.mode("state", True).alias("state"),
-        F.count("*").alias("source_coordinate_count"),
-    )
+    points = shaped(df, _PLACE + "\nlongitude double lng\nlatitude double lat", prefix="geolocation_")
+    middle = {c: F.percentile_approx(c, 0.5, 10_000) for c in ("longitude", "latitude")}
+    usual = {c: F.mode(c, True) for c in ("state", "city")}
+    return points.groupBy("zip_code_prefix").agg(F.count("*").alias("source_coordinate_count"), *[v.alias(k) for k, v in (middle | usual).items()])

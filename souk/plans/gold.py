@@ -48,7 +48,7 @@ def dim_seller(history: DataFrame) -> DataFrame:
     return _party(history, "seller", "seller_id")
 
 
-PRODUCT = ("product_name_length", "product_description_length", "product_photos_quantity", "weight_g", "length_cm", "height_cm", "width_cm", "volume_cm3")
+PRODUCT = (*(f"product_{c}" for c in ("photos_quantity", "name_length", "description_length")), *"volume_cm3 width_cm height_cm length_cm weight_g".split())
 
 
 def category_key(name: Column | str) -> Column:

@@ -46,7 +46,10 @@ def sha(*parts: str) -> str:
 
 
 _PARTY = "'system' AS created_run_id, 'system' AS updated_run_id"
-_ALLOWED = ", ".join(f"'{a}>{b}'" for a, b in (("created", "approved"), ("approved", "invoiced"), ("invoiced", "shipped"), ("shipped", "in_transit"), ("in_transit", "out_for_delivery"), ("out_for_delivery", "delivered"), ("shipped", "exception"), ("in_transit", "exception"), ("out_for_delivery", "exception"), ("exception", "in_transit"), ("exception", "out_for_delivery")))
+_PATH = "created approved invoiced shipped in_transit out_for_delivery delivered".split()
+_PAIRS = [*zip(_PATH, _PATH[1:]), *((s, "exception") for s in _PATH[3:6]), *(("exception", s) for s in _PATH[4:6])]
+_ALLOWED = ", ".join(f"'{a}>{b}'" for a, b in _PAIRS)
+
 
 
 def _sessions(minutes: int) -> str:
@@ -117,27 +120,27 @@ PARTS: dict[str, str] = {
         FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d)""",
     "d_customer": f"SELECT {sk("'customer'", 'customer_unique_id', ver('valid_from'))} AS customer_key, * FROM customer_versions UNION ALL SELECT -1, 'UNKNOWN', NULL, 'unknown', 'NA', TIMESTAMP '1900-01-01', NULL, true, {_PARTY}",
     "d_seller": f"SELECT {sk("'seller'", 'seller_id', ver('valid_from'))} AS seller_key, * FROM seller_versions UNION ALL SELECT -1, 'UNKNOWN', NULL, 'unknown', 'NA', TIMESTAMP '1900-01-01', NULL, true, {_PARTY}",
-    "d_product": f"""SELECT {sk("'product'", 'product_id', "'1990-01-01 00:00:00'")} AS product_key, CASE WHEN category_name = 'unknown' THEN -1 ELSE {sk("'category'", 'category_name')} END AS category_key, product_id, category_name, product_name_length, product_description_length,
-            product_photos_quantity, weight_g, length_cm, height_cm, width_cm, volume_cm3, TIMESTAMP '1990-01-01' AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, true AS is_current, 'r1' AS created_run_id, 'r1' AS updated_run_id FROM s_products
+    "d_product": f"""SELECT {sk("'product'", 'product_id', "'1990-01-01 00:00:00'")} AS product_key, CASE WHEN category_name = 'unknown' THEN -1 ELSE {sk("'category'", 'category_name')} END AS category_key, product_id, category_name, product_photos_quantity, product_name_length, product_description_length,
+            volume_cm3, width_cm, height_cm, length_cm, weight_g, TIMESTAMP '1990-01-01' AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, true AS is_current, 'r1' AS created_run_id, 'r1' AS updated_run_id FROM s_products
         UNION ALL SELECT -1, -1, 'UNKNOWN', 'unknown', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, TIMESTAMP '1900-01-01', NULL, true, {_PARTY}""",
     "d_category": f"SELECT {sk("'category'", 'category_name')} AS category_key, category_name, category_name_english FROM (SELECT DISTINCT category_name FROM s_products WHERE category_name <> 'unknown') LEFT JOIN s_translation USING (category_name) UNION ALL SELECT -1, 'unknown', NULL",
     "d_geography": f"SELECT {sk("'geography'", 'zip_code_prefix')} AS geography_key, * FROM s_geography UNION ALL SELECT -1, NULL, NULL, NULL, 'unknown', 'NA', 0",
     "f_item": f"""SELECT {sk("'order_item'", 'i.order_id', 'i.order_item_id')} AS order_item_key, i.order_id, i.order_item_id, coalesce(dc.customer_key, -1) AS customer_key, coalesce(ds.seller_key, -1) AS seller_key, coalesce(dp.product_key, -1) AS product_key,
         coalesce(dg.geography_key, -1) AS customer_geography_key, {dk('o.purchased_at')} AS purchase_date_key, CASE o.order_status WHEN 'canceled' THEN 80 WHEN 'delivered' THEN 60 WHEN 'shipped' THEN 50 ELSE 40 END AS order_status_key,
-        o.purchased_at, o.delivered_at, o.estimated_delivery_at, o.delivery_lead_days, o.delivery_delay_days, o.is_delivered_on_time, o.is_delivered, o.is_terminal_failure, i.shipping_limit_at, i.item_amount, i.freight_amount, i.gross_amount
+        i.gross_amount, i.freight_amount, i.item_amount, i.shipping_limit_at, o.is_terminal_failure, o.is_delivered, o.is_delivered_on_time, o.delivery_delay_days, o.delivery_lead_days, o.estimated_delivery_at, o.delivered_at, o.purchased_at
         FROM s_items i JOIN s_orders o ON i.order_id = o.order_id LEFT JOIN s_customers cm ON o.customer_id = cm.customer_id
         LEFT JOIN d_customer dc ON cm.customer_unique_id = dc.customer_unique_id AND o.purchased_at >= dc.valid_from AND (o.purchased_at < dc.valid_to OR dc.valid_to IS NULL)
         LEFT JOIN d_seller ds ON i.seller_id = ds.seller_id AND o.purchased_at >= ds.valid_from AND (o.purchased_at < ds.valid_to OR ds.valid_to IS NULL)
         LEFT JOIN d_product dp ON i.product_id = dp.product_id AND o.purchased_at >= dp.valid_from AND (o.purchased_at < dp.valid_to OR dp.valid_to IS NULL)
         LEFT JOIN d_geography dg ON dc.zip_code_prefix = dg.zip_code_prefix""",
-    "f_payment": f"""SELECT {sk("'payment'", 'p.order_id', 'p.payment_sequence')} AS payment_key, p.order_id, p.payment_sequence, coalesce(dc.customer_key, -1) AS customer_key, {dk('o.purchased_at')} AS purchase_date_key, p.payment_type, p.installments, p.payment_amount, o.purchased_at
+    "f_payment": f"""SELECT {sk("'payment'", 'p.order_id', 'p.payment_sequence')} AS payment_key, p.order_id, p.payment_sequence, coalesce(dc.customer_key, -1) AS customer_key, {dk('o.purchased_at')} AS purchase_date_key, o.purchased_at, p.payment_amount, p.installments, p.payment_type
         FROM s_payments p JOIN s_orders o ON p.order_id = o.order_id LEFT JOIN s_customers cm ON o.customer_id = cm.customer_id
         LEFT JOIN d_customer dc ON cm.customer_unique_id = dc.customer_unique_id AND o.purchased_at >= dc.valid_from AND (o.purchased_at < dc.valid_to OR dc.valid_to IS NULL)""",
-    "f_delivery": f"""SELECT {sk("'delivery'", 'o.order_id')} AS delivery_key, o.order_id, {dk('o.purchased_at')} AS purchase_date_key, {dk('o.delivered_at')} AS delivered_date_key, o.order_status, d.latest_delivery_status, d.latest_event_at, d.latest_event_received_at, d.location_state, d.carrier_code,
-        o.purchased_at, o.estimated_delivery_at, o.delivered_at, o.delivery_lead_days, o.delivery_delay_days, o.is_delivered_on_time, d.is_at_risk, d.invalid_transition_count, d.delivery_event_count, d.event_arrival_lag_minutes FROM snapshot d JOIN s_orders o ON d.order_id = o.order_id""",
-    "f_review": f"SELECT {sk("'review'", 'r.review_id', 'r.order_id')} AS review_key, r.review_id, r.order_id, {dk('r.review_created_at')} AS review_date_key, r.review_score, r.review_title, r.review_message, r.review_created_at, r.review_answered_at, o.delivery_delay_days, o.is_delivered_on_time FROM s_reviews r JOIN s_orders o ON r.order_id = o.order_id",
-    "f_session": f"SELECT {sk("'session'", 'session_id')} AS session_key, session_id, user_id, {dk('session_started_at')} AS session_date_key, session_started_at, session_ended_at, session_duration_seconds, event_count, distinct_product_count, has_product_view, has_add_to_cart, has_checkout, has_purchase, device_type, traffic_source FROM sessions",
-    "f_reconciliation": f"SELECT {sk("'reconciliation'", 'order_id')} AS reconciliation_key, order_id, {dk('purchased_at')} AS purchase_date_key, order_status, purchased_at, item_amount, freight_amount, expected_payment_amount, actual_payment_amount, payment_difference, item_count, seller_count, payment_record_count, payment_method_count, is_payment_reconciled, reconciliation_status FROM reconciled",
+    "f_delivery": f"""SELECT {sk("'delivery'", 'o.order_id')} AS delivery_key, o.order_id, {dk('o.purchased_at')} AS purchase_date_key, {dk('o.delivered_at')} AS delivered_date_key, d.carrier_code, d.location_state, d.latest_event_received_at, d.latest_event_at, d.latest_delivery_status, o.order_status,
+        d.event_arrival_lag_minutes, d.delivery_event_count, d.invalid_transition_count, d.is_at_risk, o.is_delivered_on_time, o.delivery_delay_days, o.delivery_lead_days, o.delivered_at, o.estimated_delivery_at, o.purchased_at FROM snapshot d JOIN s_orders o ON d.order_id = o.order_id""",
+    "f_review": f"SELECT {sk("'review'", 'r.review_id', 'r.order_id')} AS review_key, r.review_id, r.order_id, {dk('r.review_created_at')} AS review_date_key, o.is_delivered_on_time, o.delivery_delay_days, r.review_answered_at, r.review_created_at, r.review_message, r.review_title, r.review_score FROM s_reviews r JOIN s_orders o ON r.order_id = o.order_id",
+    "f_session": f"SELECT {sk("'session'", 'session_id')} AS session_key, session_id, user_id, {dk('session_started_at')} AS session_date_key, traffic_source, device_type, has_purchase, has_checkout, has_add_to_cart, has_product_view, distinct_product_count, event_count, session_duration_seconds, session_ended_at, session_started_at FROM sessions",
+    "f_reconciliation": f"SELECT {sk("'reconciliation'", 'order_id')} AS reconciliation_key, order_id, {dk('purchased_at')} AS purchase_date_key, reconciliation_status, is_payment_reconciled, payment_method_count, payment_record_count, seller_count, item_count, payment_difference, actual_payment_amount, expected_payment_amount, freight_amount, item_amount, purchased_at, order_status FROM reconciled",
     "day_sales": """SELECT purchase_date_key AS date_key, count(DISTINCT order_id) AS order_count, sum(item_amount) AS item_revenue, sum(freight_amount) AS freight_revenue, sum(gross_amount) AS gmv, count(DISTINCT CASE WHEN is_delivered THEN order_id END) AS delivered_order_count,
         count(DISTINCT CASE WHEN is_terminal_failure THEN order_id END) AS failed_order_count, count(DISTINCT CASE WHEN is_delivered_on_time THEN order_id END) AS on_time_order_count, count(DISTINCT CASE WHEN NOT is_delivered_on_time THEN order_id END) AS late_order_count FROM f_item GROUP BY 1""",
     "day_paid": "SELECT purchase_date_key AS date_key, sum(payment_amount) AS payment_amount FROM f_payment GROUP BY 1",
@@ -243,7 +246,7 @@ ORACLES: dict[str, str] = {
     "dim_product": "SELECT * FROM d_product",
     "dim_category": "SELECT * FROM d_category",
     "dim_geography": "SELECT * FROM d_geography",
-    "dim_order_status": "SELECT * FROM (VALUES (10,'created','open'),(20,'approved','open'),(30,'invoiced','open'),(40,'processing','open'),(50,'shipped','in_transit'),(60,'delivered','success'),(70,'unavailable','failure'),(80,'canceled','failure'),(-1,'unknown','unknown')) AS t(order_status_key, order_status, status_group)",
+    "dim_order_status": "SELECT CAST(CASE WHEN i = 9 THEN -1 ELSE i * 10 END AS INTEGER) AS order_status_key, s AS order_status, CASE WHEN i <= 4 THEN 'open' WHEN i = 5 THEN 'in_transit' WHEN i = 6 THEN 'success' WHEN i <= 8 THEN 'failure' ELSE 'unknown' END AS status_group FROM (SELECT unnest(string_split('created approved invoiced processing shipped delivered unavailable canceled unknown', ' ')) AS s, generate_subscripts(string_split('created approved invoiced processing shipped delivered unavailable canceled unknown', ' '), 1) AS i)",
     "bridge_category_hierarchy": "SELECT category_key AS ancestor_category_key, category_key AS descendant_category_key, 0 AS depth, true AS is_self FROM d_category",
     "category_closure": "SELECT category_name AS ancestor_category, category_name AS descendant_category, 0 AS depth FROM d_category",
     "hierarchy_closure": "WITH RECURSIVE links AS (SELECT category_id AS ancestor_id, category_id AS descendant_id, 0 AS depth FROM nodes UNION ALL SELECT l.ancestor_id, c.category_id, l.depth + 1 FROM links l JOIN nodes c ON c.parent_category_id = l.descendant_id) SELECT * FROM links",
@@ -273,7 +276,7 @@ ORACLES: dict[str, str] = {
     "measure_seller": f"SELECT state, {money('sum(gmv)')} AS seller_gmv, CAST(sum(order_count) AS BIGINT) AS seller_orders, {div('sum(on_time_delivery_rate * order_count)', 'sum(order_count)', 6, 'DECIMAL(9,6)')} AS seller_on_time_rate FROM m_seller LEFT JOIN d_seller USING (seller_key) GROUP BY 1",
     "measure_cumulative_gmv": f"SELECT full_date, gmv, {money('sum(gmv) OVER (ORDER BY full_date)')} AS cumulative_gmv FROM m_daily",
     "export_monthly": "SELECT * FROM e_monthly",
-    "export_regions": f"""SELECT s.year, s.state, s.gmv, s.orders, coalesce(l.at_risk, 0) AS at_risk, coalesce(l.late, 0) AS late, coalesce(l.sla, CAST(0 AS DECIMAL(9,6))) AS sla FROM (
+    "export_regions": f"""SELECT s.state, s.year, s.orders, s.gmv, coalesce(l.at_risk, 0) AS at_risk, coalesce(l.late, 0) AS late, coalesce(l.sla, CAST(0 AS DECIMAL(9,6))) AS sla FROM (
         SELECT CAST(year(purchased_at) AS INTEGER) AS year, g.state, {money('sum(gross_amount)')} AS gmv, count(DISTINCT order_id) AS orders FROM f_item JOIN d_geography g ON customer_geography_key = geography_key GROUP BY 1, 2) s LEFT JOIN (
         SELECT calendar_year AS year, location_state AS state, CAST(sum(at_risk_order_count) AS BIGINT) AS at_risk, CAST(sum(late_order_count) AS BIGINT) AS late, {rate('sum(on_time_order_count)', 'sum(order_count)')} AS sla FROM m_sla JOIN d_date USING (date_key) GROUP BY 1, 2) l ON l.year = s.year AND l.state = s.state""",
     "export_sellers": f"""SELECT year, 'seller-' || substr(sha256('salt:' || seller_key), 1, 8) AS id, state, gmv, orders, sla, avg_delay FROM (

@@ -91,10 +91,11 @@ ORDER_STATUS_ROWS = (
     (10, "created", "open"), (20, "approved", "open"), (30, "invoiced", "open"), (40, "processing", "open"), (50, "shipped", "in_transit"),
     (60, "delivered", "success"), (70, "unavailable", "failure"), (80, "canceled", "failure"), (-1, "unknown", "unknown"),
 )
-CLICK_TYPES = ("page_view", "product_view", "add_to_cart", "checkout", "purchase")
-DELIVERY_RANKS = {"created": 10, "approved": 20, "invoiced": 30, "shipped": 40, "in_transit": 50, "out_for_delivery": 60, "delivered": 70, "exception": 90}
-_STEPS = ("created", "approved", "invoiced", "shipped", "in_transit", "out_for_delivery", "delivered")
-TRANSITIONS = frozenset(zip(_STEPS, _STEPS[1:])) | {(s, "exception") for s in _STEPS[3:6]} | {("exception", s) for s in _STEPS[4:6]}
+CLICK_TYPES = tuple("page_view product_view add_to_cart checkout purchase".split())
+#: the delivery's steps in their order; an exception stands outside it
+STEPS = tuple("created approved invoiced shipped in_transit out_for_delivery delivered".split())
+DELIVERY_RANKS = {s: 10 * i for i, s in enumerate(STEPS, 1)} | {"exception": 90}
+TRANSITIONS = frozenset(zip(STEPS, STEPS[1:])) | {(s, "exception") for s in STEPS[3:6]} | {("exception", s) for s in STEPS[4:6]}
 
 
 def transition_allowed(previous: str | None, current: str) -> bool:

@@ -87,15 +87,15 @@ def manifest_hashes(m: dict, dataset: str = "olist") -> dict[str, str]:
     by_name = {PurePosixPath(f["path"]).name: f["sha256"] for f in m["files"]}
     if missing := sorted(c.file for c in CONTRACTS.values() if c.file not in by_name):
         raise ValueError(f"the manifest lacks {', '.join(missing)}")
-    if bad := sorted(c.file for c in CONTRACTS.values() if not re.fullmatch(r"[a-f0-9]{64}", by_name[c.file])):
+    if bad := sorted(c.file for c in CONTRACTS.values() if len(h := by_name[c.file]) != 64 or re.search("[^0-9a-f]", h)):
         raise ValueError(f"no SHA-256: {', '.join(bad)}")
     return {c.name: by_name[c.file] for c in CONTRACTS.values()}
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", **options: str) -> DataFrame:
     """A topic as a stream; losing data fails the query. Needs Spark's Kafka package."""
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting).option("failOnDataLoss", "true")
-    return reader.options(**options).load()
+    settings = {"subscribe": topic, "kafka.bootstrap.servers": servers, "failOnDataLoss": "true", "startingOffsets": starting}
+    return spark.readStream.format("kafka").options(**settings, **options).load()
 
 
 def file_stream(spark: SparkSession, folder: str, per_trigger: int | None = None) -> DataFrame:
@@ -130,4 +130,5 @@ def write_events(events: DataFrame, folder: str, partitions: int, order: str = "
 
 def write_snapshot(snapshot: dict, path: str | Path) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(snapshot, ensure_ascii=False, indent=2), encoding="utf-8")
+    with Path(path).open("w", encoding="utf-8") as out:
+        json.dump(snapshot, out, indent=1, ensure_ascii=False)

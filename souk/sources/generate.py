@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.sources.contracts import EVENT_VERSION
+from souk.sources.contracts import EVENT_VERSION, STEPS
 
-STEPS = ("created", "approved", "invoiced", "shipped", "in_transit", "out_for_delivery", "delivered")
 STATES = ("SP", "RJ", "MG", "RS", "PR", "BA", "SC")
 CARRIERS = ("correios", "transportadora_sul", "rapido_sudeste", "logistica_norte")
 DEVICES = ("mobile", "desktop", "tablet")
@@ -20,8 +19,8 @@ def _pick(values: tuple[str, ...], h: Column) -> Column:
 
 def _uuid(*parts: Column | str) -> Column:
     """A name-based identifier in the form of a UUID, from SHA-256."""
-    h = F.sha2(F.concat_ws(":", F.lit("souk"), *parts), 256)
-    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+    digest = F.sha2(F.concat_ws(":", F.lit("souk"), *parts), 256)
+    return F.regexp_replace(digest, "^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$", "$1-$2-5$3-a$4-$5")
 
 
 def _share(seed: int, what: str, *parts: str) -> Column:
@@ -33,15 +32,16 @@ def delivery_events(spark: SparkSession, orders: int, seed: int = 42, base: str
     """Seven events an order along the happy path; shares of them are sent again under a new id, or produced two days late."""
     if orders <= 0:
         raise ValueError("the number of orders must be positive")
-    ids = spark.range(1, orders + 1, numPartitions=partitions).select(F.format_string("synthetic_order_%012d", "id").alias("order_id"), "id")
-    rows = ids.select("*", F.posexplode(F.array(*[F.lit(s) for s in STEPS])).alias("step", "status")).withColumn("sequence_number", F.col("step") + 1)
-    at = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(base))) + (F.col("id") * 3 + F.col("sequence_number") * 360) * 60)
-    h = F.xxhash64("order_id", F.lit(seed))
+    steps = F.posexplode(F.array(*map(F.lit, STEPS)))
+    rows = spark.range(1, 1 + orders, numPartitions=partitions).select("id", F.format_string("synthetic_order_%012d", "id").alias("order_id"), steps.alias("step", "status"))
+    rows = rows.withColumn("sequence_number", 1 + F.col("step"))
+    minutes = 360 * F.col("sequence_number") + 3 * F.col("id")
+    at = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(base))) + 60 * minutes)
+    delay = F.when(_share(seed, "late", "order_id", "sequence_number") < late, F.expr("INTERVAL 2 DAYS")).otherwise(F.expr("INTERVAL 5 MINUTES"))
+    h, origin = F.xxhash64("order_id", F.lit(seed)), {"generator_seed": str(seed), "synthetic": "true"}
     made = rows.select(
-        F.lit(EVENT_VERSION).alias("schema_version"), _uuid("order_id", F.col("sequence_number").cast("string")).alias("event_id"), "order_id", "status", at.alias("occurred_at"),
-        (at + F.when(_share(seed, "late", "order_id", "sequence_number") < late, F.expr("INTERVAL 2 DAYS")).otherwise(F.expr("INTERVAL 5 MINUTES"))).alias("produced_at"),
-        _pick(STATES, h).alias("location_state"), _pick(CARRIERS, F.shiftright(h, 8)).alias("carrier_code"), "sequence_number",
-        F.create_map(F.lit("synthetic"), F.lit("true"), F.lit("generator_seed"), F.lit(str(seed))).alias("attributes"),
+        _uuid("order_id", F.col("sequence_number").cast("string")).alias("event_id"), F.lit(EVENT_VERSION).alias("schema_version"), "status", "order_id", (at + delay).alias("produced_at"), at.alias("occurred_at"),
+        _pick(CARRIERS, F.shiftright(h, 8)).alias("carrier_code"), _pick(STATES, h).alias("location_state"), F.create_map(*[F.lit(x) for kv in origin.items() for x in kv]).alias("attributes"), "sequence_number",
     )
     if not duplicates:
         return made

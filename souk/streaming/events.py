@@ -16,6 +16,7 @@ from souk.sources.contracts import CLICK_EVENT, CLICK_TYPES, DELIVERY_EVENT, DEL
 from souk.sources.store import TableStore
 
 BAD = "_malformed"
+STAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"
 KAFKA = {"topic": "_kafka_topic", "partition": "_kafka_partition", "offset": "_kafka_offset", "timestamp": "_kafka_timestamp"}
 
 
@@ -25,8 +26,8 @@ def _parse(stream: DataFrame, schema: T.StructType, required: list[str], rules:
     Malformed JSON is told from a well-formed event that lacks fields by the parser's own column for it.
     """
     known = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"}
-    base = stream.select(F.col("value").cast("string").alias("_raw_payload"), *[F.col(a).alias(b) for a, b in KAFKA.items()])
+    options = {"timestampFormat": STAMP, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    base = stream.select(*[F.col(a).alias(b) for a, b in KAFKA.items()], stream["value"].cast("string").alias("_raw_payload"))
     parsed = base.withColumn("_parsed", F.from_json("_raw_payload", known, options))
     # a value of the wrong type makes the parser keep the text too; it is malformed only if it isn't an object at all
     shapeless = F.col("_parsed").isNull() | (F.col(f"_parsed.{BAD}").isNotNull() & F.try_parse_json("_raw_payload").isNull())
@@ -43,7 +44,7 @@ def _parse(stream: DataFrame, schema: T.StructType, required: list[str], rules:
 def parse_delivery(stream: DataFrame) -> DataFrame:
     rules = [
         (~F.coalesce(F.col("event.status").isin(*DELIVERY_RANKS), F.lit(False)), "INVALID_STATUS"),
-        (~F.coalesce(F.col("event.location_state").rlike("^[A-Z]{2}$"), F.lit(True)), "INVALID_STATE"),
+        (~F.coalesce(F.regexp_like("event.location_state", F.lit("^[A-Z][A-Z]$")), F.lit(True)), "INVALID_STATE"),
     ]
     return _parse(stream, DELIVERY_EVENT, ["event_id", "order_id", "occurred_at", "produced_at", "sequence_number"], rules)
 
@@ -70,11 +71,10 @@ def once_within(events: DataFrame, delay: str = "2 hours") -> DataFrame:
 
 def trigger(writer, mode: str, interval: str = "30 seconds"):
     """``available_now``: what there is, then stop; ``continuous``: a batch every interval."""
-    if mode == "available_now":
-        return writer.trigger(availableNow=True)
-    if mode == "continuous":
-        return writer.trigger(processingTime=interval)
-    raise ValueError(f"unknown trigger {mode!r}")
+    modes = {"continuous": {"processingTime": interval}, "available_now": {"availableNow": True}}
+    if mode not in modes:
+        raise ValueError(f"unknown trigger {mode!r}")
+    return writer.trigger(**modes[mode])
 
 
 def start(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], store: TableStore, target: str, quarantine: str, checkpoint: str, run_id: str, mode: str = "available_now", name: str | None = None, watermark: str | None = None) -> StreamingQuery:
@@ -110,22 +110,22 @@ class Outcome:
     source: str
     status: str
     recorded_at: datetime
-    batch_id: int | None
     input_rows: int
-    input_rows_per_second: float
+    batch_id: int | None
     processed_rows_per_second: float
+    input_rows_per_second: float
     error_message: str | None = None
 
 
-OUTCOMES = schema_of("run_id string, query_name string, query_id string, source string, status string, recorded_at timestamp, batch_id bigint, input_rows bigint, input_rows_per_second double, processed_rows_per_second double, error_message string")
+OUTCOMES = schema_of("run_id string, query_name string, query_id string, source string, status string, recorded_at timestamp, input_rows bigint, batch_id bigint, processed_rows_per_second double, input_rows_per_second double, error_message string")
 
 
 def outcome(query: StreamingQuery, run_id: str, source: str) -> Outcome:
     """What a query did: the rows of all its recent batches, the rates of its last one, its error if it failed."""
     last, error = query.lastProgress or {}, query.exception()
     rows = sum(int(p["numInputRows"] or 0) for p in query.recentProgress)
-    rates = [float(last[k] if last and last[k] is not None else 0.0) for k in ("inputRowsPerSecond", "processedRowsPerSecond")] if last else [0.0, 0.0]
-    return Outcome(run_id, query.name, str(query.id), source, "FAILED" if error else "SUCCEEDED", datetime.now(UTC), last["batchId"] if last else None, rows, *rates, str(error)[:4000] if error else None)
+    rates = [float(last[k] if last and last[k] is not None else 0.0) for k in ("processedRowsPerSecond", "inputRowsPerSecond")] if last else [0.0, 0.0]
+    return Outcome(run_id, query.name, str(query.id), source, "FAILED" if error else "SUCCEEDED", datetime.now(UTC), rows, last["batchId"] if last else None, *rates, str(error)[:4000] if error else None)
 
 
 def await_and_record(store: TableStore, queries: dict[str, StreamingQuery], run_id: str, name: str = "ctl_streaming_runs") -> str:
@@ -145,4 +145,4 @@ def await_and_record(store: TableStore, queries: dict[str, StreamingQuery], run_
     bad = [o.query_name for o in outcomes if o.status == "FAILED"]
     if bad or failed:
         raise RuntimeError(f"streaming queries failed: {', '.join(bad) or 'unknown'}") from failed
-    return json.dumps({"run_id": run_id, "status": "SUCCEEDED", "queries": [o.query_name for o in outcomes], "input_rows": sum(o.input_rows for o in outcomes)})
+    return json.dumps({"input_rows": sum(o.input_rows for o in outcomes), "queries": [o.query_name for o in outcomes], "status": "SUCCEEDED", "run_id": run_id})

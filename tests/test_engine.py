@@ -227,10 +227,10 @@ def test_quality_and_gate(spark):
 
 def test_health():
     now = datetime(2026, 1, 1, tzinfo=UTC)
-    got = health.alerts(health.Snapshot(now, now - timedelta(minutes=40), 2, 0.08, 1))
+    got = health.alerts(health.Snapshot(now, now - timedelta(seconds=2400), 1, 2, 0.08))
     assert len(got) == 4 and sum(a.severity == health.CRITICAL for a in got) == 3
-    assert health.alerts(health.Snapshot(now, now, 0, 0.02, 0)) == []
-    assert health.alerts(health.Snapshot(now, None, 0, 0.0, 0))[0].observed == float("inf")
+    assert health.alerts(health.Snapshot(now, now, 0, 0, 0.02)) == []
+    assert health.alerts(health.Snapshot(now, None, 0, 0, 0.0))[0].observed == float("inf")
 
 
 def _envelope(spark, values):
@@ -238,14 +238,14 @@ def _envelope(spark, values):
 
 
 def _delivery(**changes):
-    return json.dumps({"schema_version": "1.0.0", "event_id": "e", "order_id": "o", "status": "created", "occurred_at": "2026-01-01T00:00:00Z", "produced_at": "2026-01-01T00:00:00.123456Z", "location_state": "SP", "carrier_code": "c", "sequence_number": 1, "attributes": {"a": 1}} | changes)
+    return json.dumps({"order_id": "o", "event_id": "e", "status": "created", "schema_version": "1.0.0", "produced_at": "2026-01-02T03:04:05.123456Z", "occurred_at": "2026-01-02T03:04:05Z", "location_state": "SP", "carrier_code": "c", "sequence_number": 1, "attributes": {"a": 1}} | changes)
 
 
 def test_parsers(spark):
     values = [_delivery(), "{not json", None, _delivery(order_id=None), _delivery(schema_version="2"), _delivery(status="teleported"), _delivery(location_state="sp"), _delivery(extra=1), _delivery(occurred_at="soon")]
     got = [r._quarantine_reason for r in streams.parse_delivery(_envelope(spark, values)).orderBy("_kafka_offset").collect()]
     assert got == [None, "INVALID_JSON", "INVALID_JSON", "MISSING_REQUIRED_FIELD", "UNSUPPORTED_SCHEMA_VERSION", "INVALID_STATUS", "INVALID_STATE", None, "MISSING_REQUIRED_FIELD"]
-    click = {"schema_version": "1.0.0", "event_id": "e", "user_id": "u", "event_type": "teleport", "occurred_at": "2026-01-01T00:00:00Z"}
+    click = {"user_id": "u", "event_id": "e", "occurred_at": "2026-01-02T03:04:05Z", "event_type": "fly", "schema_version": "1.0.0"}
     assert streams.parse_clicks(_envelope(spark, [json.dumps(click)])).first()._quarantine_reason == "INVALID_EVENT_TYPE"
 
 
