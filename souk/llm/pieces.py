@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,9 @@ SPACE = "▁"
 #: A word of more characters is segmented by ``merged``: the fold's set of cuts is the bits of a long.
 MASK = 60
 #: Bytes of segmented words up to which a worker holds them all.
-HELD = 512 << 20
+HELD = 256 << 20
+#: Rows of a batch handled at a time, so that copies of their texts stay small.
+SLICE = 256
 
 
 @dataclass(frozen=True)
@@ -95,10 +96,12 @@ def distinct_words(texts: DataFrame) -> DataFrame:
     """(word) of all texts, spaces written as the model does; texts: one string column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _LOADED.clear()
+        _trim()
         seen = np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             offsets, data = strings(spaced(batch.column(0)))
-            for i, j in portions(offsets):
+            for i, j in portions(offsets, 1 << 20):
                 off, part = offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
                 s, e, _ = units(off, part)
                 h, at = np.unique(span_hashes(part, s, e, 1), return_index=True)
@@ -108,20 +111,23 @@ def distinct_words(texts: DataFrame) -> DataFrame:
                 seen = np.sort(np.concatenate([seen if len(seen) < 4_000_000 else seen[:0], h]))
                 raw = part.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip(s[at].tolist(), e[at].tolist())], pa.binary()).cast(pa.string())], names=["word"])
+        del seen
+        _trim()
 
     words = arrow(texts, run, "word string").select(F.translate("word", " ", SPACE).alias("word"))
     return words.groupBy("word").agg(F.length("word").alias("n"))
 
 
 def edges(words: DataFrame, table_: DataFrame, longest: int, one: bool) -> DataFrame:
-    """(word, n, s, l, score) of each substring in the piece table; l = 0: the word itself, once.
+    """(word, n, s, l, score) of each substring in the piece table; l = 0: the word itself, once, and all there is of a longer one than MASK.
 
     ``one``: with pieces of one character, too.
     """
     top = F.least(F.lit(longest), F.col("n") - F.col("s") + 1)
     least = 1 if one else 2
-    sizes = F.when(top >= least, F.sequence(F.lit(least), top)).otherwise(F.array().cast("array<int>"))
-    at = words.select("word", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("s"))
+    short = F.col("n") <= MASK
+    sizes = F.when(short & (top >= least), F.sequence(F.lit(least), top)).otherwise(F.array().cast("array<int>"))
+    at = words.select("word", "n", F.explode(F.sequence(F.lit(1), F.when(short, F.col("n")).otherwise(1))).alias("s"))
     cut = at.select("word", "n", "s", F.explode(F.when(F.col("s") == 1, F.concat(F.array(F.lit(0)), sizes)).otherwise(sizes)).alias("l"))
     # the piece table has as many rows as the model, whatever the data
     return cut.withColumn("piece", F.substring("word", F.col("s"), F.col("l"))).join(F.broadcast(table_), "piece").select("word", "n", "s", "l", "score")
@@ -132,7 +138,11 @@ def _bit(i: Column) -> Column:
 
 
 def bpe_cuts(lattice: DataFrame) -> DataFrame:
-    """(word, cuts): 0, the ends between pieces, and n. Of the edges over exactly two pieces the best, then the leftmost, is merged first."""
+    """(word, n, cuts): bit i of cuts is set where a piece begins or ends at i; null for words longer than MASK.
+
+    Of the edges over exactly two pieces the best, then the leftmost, is merged first. The fold gives the bits as
+    they are: an expression over them would be inlined into its lambdas and fold again for each element.
+    """
     s, e = F.col("s") - 1, F.col("s") + F.col("l") - 1
     edge = F.when(F.col("l") > 0, F.struct((-F.col("score")).alias("rank"), s.alias("s"), (_bit(s) + _bit(e)).alias("ends"), (_bit(e) - _bit(s + 1)).alias("inner")))
     by = lattice.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
@@ -143,15 +153,15 @@ def bpe_cuts(lattice: DataFrame) -> DataFrame:
 
     rounds = F.least(F.size("edges"), F.col("n") - 1)
     times = F.when(rounds > 0, F.sequence(F.lit(1), rounds)).otherwise(F.array().cast("array<int>"))
-    folded = by.select("word", "n", F.aggregate(times, _bit(F.col("n") + 1) - 1, step).alias("cuts"))
-    return folded.select("word", F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("getbit", F.col("cuts"), i) == 1).alias("cuts"))
+    return by.select("word", "n", F.when(F.col("n") <= MASK, F.aggregate(times, _bit(F.col("n") + 1) - 1, step)).alias("cuts"))
 
 
 def viterbi_cuts(lattice: DataFrame, unknown: float) -> DataFrame:
-    """(word, cuts) of the path with the largest summed score; a character without a piece costs ``unknown``."""
+    """(word, n, cuts): the positions on the path with the largest summed score, null for words longer than MASK; a character without a piece costs ``unknown``."""
     edge = F.when(F.col("l") > 0, F.struct((F.col("s") + F.col("l") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.col("score").cast("double").alias("w")))
     by = lattice.groupBy("word", "n").agg(F.collect_list(edge).alias("known"))
-    single = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("e"), (i - 1).alias("s"), F.lit(unknown).cast("double").alias("w")))
+    chars = F.when(F.col("n") <= MASK, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
+    single = F.transform(chars, lambda i: F.struct(i.alias("e"), (i - 1).alias("s"), F.lit(unknown).cast("double").alias("w")))
     missing = F.filter(single, lambda x: ~F.exists("known", lambda k: (k["e"] == x["e"]) & (k["s"] == x["s"])))
     start = F.struct(
         F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.when(i == 0, F.lit(0.0)).otherwise(F.lit(float("-inf")))).alias("best"),
@@ -166,9 +176,12 @@ def viterbi_cuts(lattice: DataFrame, unknown: float) -> DataFrame:
             F.transform(state["back"], lambda b, i: F.when((i == x["e"]) & better, x["s"]).otherwise(b)).alias("back"),
         )
 
-    back = by.select("word", "n", F.aggregate(F.array_sort(F.concat("known", missing)), start, step)["back"].alias("back"))
-    path = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(F.col("n")), lambda p, _: F.when(p[0] == 0, p).otherwise(F.concat(F.array(F.col("back")[p[0]]), p)))
-    return back.select("word", path.alias("cuts"))
+    def path(state: Column) -> Column:
+        """From the end back; the state is the lambda's own, so it is folded once."""
+        return F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(F.col("n")), lambda p, _: F.when(p[0] == 0, p).otherwise(F.concat(F.array(state["back"][p[0]]), p)))
+
+    folded = F.aggregate(F.array_sort(F.concat("known", missing)), start, step, path)
+    return by.select("word", "n", F.when(F.col("n") <= MASK, folded).alias("cuts"))
 
 
 def merged(word: str, rank: dict[str, float]) -> list[str]:
@@ -241,46 +254,93 @@ def unknown_score(model: Model) -> float:
 
 
 def segmented(texts: DataFrame, model: Model) -> DataFrame:
-    """(word, ids: little-endian int32) of every distinct word of the texts."""
+    """(word, h, h2: its hashes as the texts spell it, ids: little-endian int32) of every distinct word of the texts."""
     spark = texts.sparkSession
     words = distinct_words(texts)
     rows = [(p, float(s)) for p, s in zip(model.pieces, model.scores) if s is not None and (model.kind != "bpe" or len(p) > 1)]
     known = spark.createDataFrame([("", 0.0), *rows], "piece string, score double")
-    lattice = edges(words.filter(F.col("n") <= MASK), known, model.longest, model.kind != "bpe")
+    lattice = edges(words, known, model.longest, model.kind != "bpe")
     cuts = bpe_cuts(lattice) if model.kind == "bpe" else viterbi_cuts(lattice, unknown_score(model))
-    ends = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda k: F.substring(F.col("word"), F.col("cuts")[k - 1] + 1, F.col("cuts")[k] - F.col("cuts")[k - 1]))
-    both = cuts.select("word", ends.alias("pieces")).unionByName(words.filter(F.col("n") > MASK).select("word", F.lit(None).cast("array<string>").alias("pieces")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Segmenter(model)
         for batch in batches:
-            ids = [np.array(one.of(one.pieces(w) if p is None else p), "<i4").tobytes() for w, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+            ids = []
+            for w, n, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if at is None:
+                    parts = one.pieces(w)
+                else:
+                    ends = [i for i in range(1, n + 1) if at >> i & 1] if model.kind == "bpe" else at[1:]
+                    parts = [w[a:b] for a, b in zip([0, *ends], ends)]
+                ids.append(np.array(one.of(parts), "<i4").tobytes())
+            off, data = strings(pc.replace_substring(batch.column(0), SPACE, " "))
+            h = [span_hashes(data, off[:-1], off[1:], seed) for seed in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h[0].view(np.int64)), pa.array(h[1].astype(np.uint32).view(np.int32)), pa.array(ids, pa.binary())], names=["word", "h", "h2", "ids"])
+
+    return arrow(cuts, run, "word string, h long, h2 int, ids binary")
 
-    return arrow(both, run, "word string, ids binary")
 
+_LOADED: dict[str, tuple[np.ndarray, ...]] = {}
 
-@lru_cache(maxsize=1)
-def _held(path: str) -> tuple[np.ndarray, ...]:
-    """The segmented words as arrays: sorted hashes, second hashes, offsets and ids in that order."""
+
+def _held(path: str, n: int, total: int, wide: bool) -> tuple[np.ndarray, ...]:
+    """``_load`` once a worker and table; the table before is let go first, so that two are never held."""
+    if path not in _LOADED:
+        _LOADED.clear()
+        _trim()
+        _LOADED[path] = _load(path, n, total, wide)
+    return _LOADED[path]
+
+
+def _load(path: str, n: int, total: int, wide: bool) -> tuple[np.ndarray, ...]:
+    """The n segmented words: sorted hashes, and in their order second hashes, where the ids begin and how many there are; the ids, total in number.
+
+    About 27 bytes a word, and little more while reading: all arrays are filled in place.
+    """
     import pyarrow.dataset as ds
 
-    firsts, seconds, sizes, flat = [], [], [], []
-    for batch in ds.dataset(path, format="parquet").to_batches():
-        column = pc.replace_substring(batch.column("word"), SPACE, " ")
-        off, data = strings(column)
-        firsts.append(span_hashes(data, off[:-1], off[1:], 1))
-        seconds.append(span_hashes(data, off[:-1], off[1:], 2))
-        ids = batch.column("ids").cast(pa.large_binary())
-        o = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
-        sizes.append(np.diff(o) // 4)
-        flat.append(np.frombuffer(ids.buffers()[2], np.uint8)[o[0] : o[-1]].copy().view("<i4"))
-    if not firsts:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int32))
-    h, h2, n, ids = (np.concatenate(x) for x in (firsts, seconds, sizes, flat))
-    order = np.argsort(h)
-    begin = np.cumsum(n) - n
-    return h[order], h2[order], begin[order], n[order], ids
+    source = ds.dataset(path, format="parquet")
+
+    def batches(*columns: str) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+        at = 0
+        for b in source.to_batches(columns=list(columns), batch_size=1 << 15, batch_readahead=0, fragment_readahead=0, use_threads=False):
+            yield at, at + b.num_rows, b
+            at += b.num_rows
+
+    h, h2 = np.empty(n, np.uint64), np.empty(n, np.uint32)
+    for i, j, b in batches("h", "h2"):
+        h[i:j], h2[i:j] = b.column("h").to_numpy().view(np.uint64), b.column("h2").to_numpy().view(np.uint32)
+    order = np.argsort(h).astype(np.uint32)
+    h = h[order]
+    h2 = h2[order]
+    _trim()
+    begin, size, ids, filled = np.empty(n, np.int64 if total >> 32 else np.uint32), np.empty(n, np.uint32), np.empty(total, np.int32 if wide else np.uint16), 0
+    for i, j, b in batches("ids"):
+        column = b.column("ids").cast(pa.large_binary())
+        o = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + j - i + 1] if j > i else np.zeros(1, np.int64)
+        size[i:j], begin[i:j] = np.diff(o) // 4, filled + (o[:-1] - o[0]) // 4
+        if o[-1] > o[0]:
+            values = np.frombuffer(column.buffers()[2], np.uint8)[o[0] : o[-1]].view("<i4")
+            ids[filled : filled + len(values)] = values
+            filled += len(values)
+    begin = begin[order]
+    size = size[order].astype(np.uint16) if n and size.max() < 1 << 16 else size[order]
+    del order
+    _trim()
+    return h, h2, begin, size, ids
+
+
+def _trim() -> None:
+    """Hands memory that the allocators keep back to the system: the workers of an executor share its limit."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
 
 
 def ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -308,32 +368,36 @@ def encoded(df: DataFrame, model: Model | None = None, doc_id: str = "doc_id", t
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     path = table_path(segmented(docs.select("text"), model), "words")
     words = docs.sparkSession.read.parquet(path)
-    weight = words.agg(F.sum(F.octet_length("word") + F.octet_length("ids") + 48)).first()[0] or 0
-    if weight > held:
+    n_words, total = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)) / 4).first()
+    total, wide = int(total), len(model.pieces) > 1 << 16
+    if n_words * 20 + total * (4 if wide else 2) > held or n_words >> 32:
         return _joined(docs, words, model)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, h2, begin, count, ids = _held(path)
+        h, h2, begin, size, ids = _held(path, n_words, total, wide)
         spelled, at, long = _spell(model)
         one = Segmenter(model)
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             offsets, data = strings(spaced(batch.column(1)))
             null = batch.column(1).is_null()
-            for i, j in portions(offsets, 2 << 20):
+            for i, j in portions(offsets, 1 << 19):
                 off, part = offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
                 s, e, first = units(off, part)
                 u, where, back = np.unique(span_hashes(part, s, e, 1), return_index=True, return_inverse=True)
                 k = np.minimum(np.searchsorted(h, u), max(0, len(h) - 1))
-                ok = (h[k] == u) & (h2[k] == span_hashes(part, s[where], e[where], 2)) if len(h) else np.zeros(len(u), bool)
-                b, n, pool = begin[k] if len(h) else np.zeros(len(u), np.int64), count[k] if len(h) else np.zeros(len(u), np.int64), ids
+                if len(h):
+                    ok = (h[k] == u) & (h2[k] == span_hashes(part, s[where], e[where], 2).astype(np.uint32))
+                    b, n, pool = begin[k].astype(np.int64), size[k].astype(np.int64), ids
+                else:
+                    ok, b, n, pool = np.zeros(len(u), bool), np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), ids
                 if not ok.all():  # hashes that collide: segmented here
                     extra = []
                     for x in np.flatnonzero(~ok):
                         own = one.of(one.pieces(part[s[where[x]] : e[where[x]]].tobytes().decode().replace(" ", SPACE)))
                         b[x], n[x] = len(ids) + sum(map(len, extra)), len(own)
                         extra.append(own)
-                    pool = np.concatenate([ids, *(np.array(x, np.int32) for x in extra)])
+                    pool = np.concatenate([ids.astype(np.int32), *(np.array(x, np.int32) for x in extra)])
                 out = pool[ragged(b[back], n[back])] if len(s) else np.zeros(0, np.int32)
                 ends = np.concatenate([[0], np.cumsum(n[back])])[first]
                 again = spelled[ragged(at[out], long[out])]
