@@ -27,8 +27,9 @@ def record_hash(columns: list[str] | list[Column]) -> Column:
 def surrogate_key(*parts: Column | str) -> Column:
     """The first eight bytes of SHA-256 over the parts joined with "|", as a signed number without its sign (its least value: 0)."""
     digest = F.sha2(F.concat_ws("|", *[F.coalesce(col(p).cast("string"), F.lit(NULL_MARK)) for p in parts]), 256)
-    signed = F.conv(F.substring(digest, 1, 16), 16, -10)
-    return F.when(signed == "-9223372036854775808", F.lit("0")).otherwise(F.ltrim(signed, F.lit("-"))).cast("long")
+    # each expression is used once, so that nothing is hashed or converted twice; only the least value's digits don't fit
+    digits = F.ltrim(F.conv(F.substring(digest, 1, 16), 16, -10), F.lit("-"))
+    return F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))
 
 
 def date_key(c: Column | str) -> Column:
