@@ -1,8 +1,8 @@
 """Main-text extraction by composite text density.
 
 For every DOM node the characters a tag, lowered by the share of link characters and link tags, are its
-density. The node whose children's densities have the largest sum holds the article; blocks in it whose
-density falls below the lowest one on its path up to the body (link lists, share bars) are left out.
+density. The node whose children's densities have the largest sum holds the article; blocks with links in it
+whose density falls below the lowest one on its path up to the body (link lists, share bars) are left out.
 """
 
 from __future__ import annotations
@@ -119,7 +119,8 @@ def densities(dom: Dom) -> tuple[list[float], list[float]]:
             continue
         t, lc, lt = max(1, tags[v]), max(1, links[v]), max(1, link_tags[v] + (dom.tag[v] == "a"))
         base = math.log(c / max(1, c - links[v]) * links[v] + share * c + math.e)
-        density[v] = c / t * max(0.0, math.log(c / lc * t / lt) / math.log(base)) if base > 1 + 1e-9 else c / t * max(0.0, math.log(c / lc * t / lt)) * 1e9
+        # without link text in the body the base is 1 (its logarithm 0) for all of it: the natural logarithm then
+        density[v] = c / t * max(0.0, math.log(c / lc * t / lt) / (math.log(base) if base > 1 + 1e-9 else 1.0))
     for v in range(1, n):
         total[dom.parent[v]] += density[v]
     return density, total
@@ -129,16 +130,23 @@ def content(dom: Dom) -> tuple[int, set[int]]:
     """(root of the content subtree, roots of the block subtrees in it that fall below the threshold).
 
     The root has the largest sum of its children's densities (ties: the first; without any sum, the body).
-    The threshold is the lowest density from it up to the body.
+    The threshold is the lowest density from it up to the body. It tells link lists from text, so only blocks
+    with links are held against it: the density of a short or link-free paragraph says how long it is, no more.
     """
     density, total = densities(dom)
+    inside, linked = [t == "a" for t in dom.tag], [t == "a" for t in dom.tag]
+    for v in range(1, len(dom.tag)):
+        inside[v] |= inside[dom.parent[v]]
+    for v in range(len(dom.tag) - 1, 0, -1):
+        linked[v] |= inside[v]
+        linked[dom.parent[v]] |= linked[v]
     b = dom.body
     best = max(range(b, dom.last[b] + 1), key=lambda v: total[v])
     v, threshold = best, density[best]
     while v != b:
         v = dom.parent[v]
         threshold = min(threshold, density[v])
-    below = {v for v in range(best + 1, dom.last[best] + 1) if dom.tag[v] in _BLOCK and density[v] < threshold}
+    below = {v for v in range(best + 1, dom.last[best] + 1) if linked[v] and dom.tag[v] in _BLOCK and density[v] < threshold}
     return best, below
 
 

@@ -114,6 +114,16 @@ def test_extraction():
     assert html.extract("<a " * 3000) is not None
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 20])
+def test_extraction_without_links(n):
+    """Link-free paragraphs stay, many or few, long or of a word; a list of links in the article still goes."""
+    each = [prose(i, 45) for i in range(n)] + ["Of."]
+    paragraphs = "".join(f"<p>{x}</p>" for x in each)
+    for page in (f"<body>{paragraphs}</body>", f"<body><article>{paragraphs}</article></body>", f"<body><nav><a href=1>one</a> <a href=2>two</a></nav><article>{paragraphs}</article></body>"):
+        assert html.extract(page).split("\n") == each
+    assert html.extract(f"<body><article>{paragraphs}<ul><li><a href=1>rel</a></li><li><a href=2>ated</a></li></ul></article></body>").split("\n") == each
+
+
 def test_densities_against_definition():
     """Every node's figures by walking its own subtree."""
     import math
