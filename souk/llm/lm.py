@@ -1,12 +1,14 @@
 """Language-model scores from compression.
 
-Two dictionaries of equal size hold the words that save most in the in-domain documents (those labelled
-of quality) and in all documents. A text's zstandard size under a dictionary, in bits a byte, is a cross-entropy
+Two dictionaries of one capacity, which grows with the counted corpus, hold the words that save most in the
+in-domain documents (those labelled of quality) and in all documents. A text's zstandard size under a dictionary, in bits a byte, is a cross-entropy
 under a model of what filled it; the score is the difference of the two, divided by the general one.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,8 +19,10 @@ from pyspark.sql import types as T
 
 from souk.llm.shared import arrow, table
 
-#: Bytes of each dictionary: the model's capacity, as a number of parameters is.
+#: Bytes of each dictionary at least: the model's capacity, as a number of parameters is.
 CAPACITY = 1 << 16
+#: Bytes of each dictionary by the square root of the counted bytes, as a vocabulary grows (Heaps): 5.5 MB at 30 GB, without a top.
+GROWTH = 32
 LEVEL = 3
 #: Distinct words a task holds before it hands its counts on.
 HELD = 400_000
@@ -26,6 +30,16 @@ HELD = 400_000
 BROADCAST = 64 << 20
 #: A match costs about this many bytes, so shorter words save nothing.
 COST = 3
+#: Scripts written without spaces (Thai to Khmer, kana, Han): counted by runs of RUNS characters, as a sentence is no word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+RUNS = 3
+
+
+def terms(text: str) -> list[str]:
+    """The words of a text, and every run of RUNS characters (a shorter stretch whole) of what is written without spaces."""
+    if text.isascii() or not (stretches := _UNSPACED.findall(text)):
+        return text.split()
+    return _UNSPACED.sub(" ", text).split() + [x[i : i + RUNS] for x in stretches for i in range(max(1, len(x) - RUNS + 1))]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -44,7 +58,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text, is_in in zip(batch.column(0), batch.column(1).to_pylist()):
                 if text.is_valid:
-                    (inner if is_in else outer).update(text.as_py().split())
+                    (inner if is_in else outer).update(terms(text.as_py()))
                 if len(inner) + len(outer) > HELD:
                     yield handed()
         yield handed()
@@ -54,20 +68,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n_in").alias("n_in"), F.sum("n_all").alias("n_all"))
 
 
+def capacity_for(counts: DataFrame) -> int:
+    """Bytes of a dictionary over these counts."""
+    total = counts.agg(F.sum(F.col("n_all") * (F.octet_length("word") + 1))).first()[0] or 0
+    return max(CAPACITY, GROWTH * math.isqrt(total))
+
+
 def dictionary(counts: DataFrame, n: str, capacity: int = CAPACITY) -> bytes:
     """The words that save most, the best last (zstandard reaches them at the shortest distance), up to ``capacity`` bytes.
 
-    Each word takes ``COST`` bytes at least, so a bounded number of rows reaches the driver.
+    A histogram of the savings (sixteen bins an octave) tells from which bin on the words fill the capacity;
+    those alone reach the driver.
     """
     saved = F.col(n) * (F.octet_length("word") - COST)
-    rows = counts.filter((F.octet_length("word") > COST) & (F.octet_length("word") <= 256) & (F.col(n) > 0)).orderBy(saved.desc(), "word").select("word").limit(capacity // (COST + 2))
+    held = counts.filter((F.octet_length("word") > COST) & (F.octet_length("word") <= 256) & (F.col(n) > 0)).select("word", saved.alias("saved"), F.floor(F.log2(saved) * 16).alias("bin"))
+    size, edge = 0, 0
+    for k, b in sorted(held.groupBy("bin").agg(F.sum(F.octet_length("word") + 1)).collect(), reverse=True):
+        size, edge = size + b, k
+        if size > capacity:
+            break
+    rows = held.filter(F.col("bin") >= edge).select("word", "saved").toArrow().to_pydict()
     size, taken = 0, []
-    for (w,) in rows.collect():
-        raw = w.encode() + b" "
-        if size + len(raw) > capacity:
+    for _, raw in sorted((-x, w.encode()) for w, x in zip(rows["word"], rows["saved"])):
+        if size + len(raw) + 1 > capacity:
             break
-        taken.append(raw)
-        size += len(raw)
+        taken.append(raw + b" ")
+        size += len(raw) + 1
     return b" " + b"".join(reversed(taken)) if taken else b""
 
 
@@ -82,8 +108,13 @@ def scored(docs: DataFrame, in_domain: bytes, general: bytes, level: int = LEVEL
             if len(content) < 8:
                 return zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=level)
-            return zstandard.ZstdCompressor(dict_data=held, level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
+            # the window spans the dictionary, the tables have a place for each of its bytes: else its far words were lost
+            given = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(content))
+            log = len(content).bit_length()
+            wide = {"window_log": max(given.window_log, (len(content) + (1 << 20)).bit_length()), "hash_log": max(given.hash_log, log), "chain_log": max(given.chain_log, log)}
+            how = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(content), write_checksum=False, write_content_size=False, write_dict_id=False, **wide)
+            held.precompute_compress(compression_params=how)
+            return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
         own, other = under(in_domain), under(general)
         for batch in batches:
@@ -100,17 +131,21 @@ def scored(docs: DataFrame, in_domain: bytes, general: bytes, level: int = LEVEL
     return arrow(docs, run, T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
-def models(documents: DataFrame, labels: DataFrame, capacity: int = CAPACITY) -> tuple[bytes, bytes]:
-    """The (in-domain, general) dictionaries: words counted over every document, in-domain those labelled quality 1 in any row."""
+def models(documents: DataFrame, labels: DataFrame, capacity: int | None = None) -> tuple[bytes, bytes]:
+    """The (in-domain, general) dictionaries: words counted over every document, in-domain those labelled quality 1 in any row.
+
+    Without a ``capacity`` it grows with the counted corpus.
+    """
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good")).distinct()
     # the ids of labelled documents travel to the texts while they fit a worker; beyond that both sides are shuffled by id
     fits = good.count() * 64 <= BROADCAST
     met = documents.select("doc_id", "text").join(F.broadcast(good) if fits else good.hint("merge"), F.col("doc_id") == F.col("good"), "left").select("text", F.col("good").isNotNull().alias("is_in"))
     counts = table(word_counts(met), "words")
+    capacity = capacity or capacity_for(counts)
     return dictionary(counts, "n_in", capacity), dictionary(counts, "n_all", capacity)
 
 
-def score(documents: DataFrame, labels: DataFrame, capacity: int = CAPACITY, level: int = LEVEL) -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, capacity: int | None = None, level: int = LEVEL) -> DataFrame:
     """(doc_id, score, bits_in, bits_general) of every row of ``documents``; above 0: nearer the in-domain model.
 
     Null and empty texts have null scores. A repeated row is scored, and counted, as often as it occurs;

@@ -186,6 +186,29 @@ def test_scores_tell_domains_apart(spark):
     assert counts == {w: (inner.count(w), words.count(w)) for w in set(words)}
 
 
+def test_dictionaries_grow_with_the_corpus(spark):
+    """Four times the words, twice the dictionary; a word at its far end saves as one at its near end does."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(60_000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    texts = [" ".join(r.choice(vocabulary) for _ in range(5000)) for _ in range(400)]
+    small, large = (lm.models(docs(spark, texts[:n]), labels)[0] for n in (100, 400))
+    assert len(small) > 1 << 16 and len(large) > 1.9 * len(small)
+    words = large.split()
+    far, near = b" ".join(words[50:90]).decode(), b" ".join(words[-90:-50]).decode()
+    strange = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(40))
+    bits = {x.doc_id: x.bits_in for x in lm.scored(docs(spark, [far, near, strange]).select("doc_id", "text"), large, large).collect()}
+    assert bits[0] < 0.8 * bits[2] and bits[1] < 0.8 * bits[2]
+
+
+def test_unspaced_scripts_are_counted(spark):
+    r = random.Random(8)
+    texts = ["".join(chr(0x4E00 + r.randint(0, 30)) for _ in range(400)) for _ in range(30)]
+    counts = lm.word_counts(docs(spark, texts).select("text", F.lit(True).alias("is_in")))
+    assert len(lm.dictionary(counts, "n_in")) > 10_000
+    assert lm.terms("ab 日本語文 é") == ["ab", "é", "日本語", "本語文"] and lm.terms("a b") == ["a", "b"]
+
+
 def test_scores_shuffle_equals_broadcast(spark, monkeypatch):
     d, labels = docs(spark, [prose(i, 100) for i in range(20)]), spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id bigint, quality int, toxic int")
     a = lm.models(d, labels)
