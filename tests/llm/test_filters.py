@@ -47,6 +47,18 @@ def test_quality_reasons(spark):
     assert sorted(r.doc_id for r in quality.keep(docs(spark, texts)).collect()) == [0, 3, 7]
 
 
+def test_short_noise_and_short_repetition_are_rejected(spark):
+    rng = random.Random(6)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    noise = ["".join(rng.choice(base64) for _ in range(n)) for n in (130, 200, 300, 500, 900) for _ in range(30)]
+    repeated = [("buy now! " * 80)[:n] for n in (64, 100, 127, 200, 450)]
+    assert quality.keep(docs(spark, noise + repeated)).count() == 0
+    text = "The river rose in the night and by morning the lower fields were under water, so the farmer moved the sheep up to the old barn. Nobody in the village could remember a flood this early; the mill had stopped, two bridges were closed and the post came a day late. "
+    assert quality.keep(docs(spark, [text[:n] for n in (20, 40, 70, 100, 130, 200, 260)])).count() == 7
+    chinese = "人工智能是研究开发用于模拟延伸和扩展人的智能的理论方法技术及应用系统的一门新的技术科学。春天来了，公园里的花都开了，孩子们在草地上奔跑，老人坐在长椅上聊天，远处的山还留着一点残雪，河水慢慢流过小镇，桥边的茶馆坐满了客人。"
+    assert quality.keep(docs(spark, [chinese[:n] for n in (20, 40, 60, 90, 105)])).count() == 5
+
+
 def test_quality_equals_brute_force(spark):
     def brute(text):
         raw = (text or "").encode()
