@@ -1,7 +1,7 @@
 """Secret scans with structural confirmation.
 
 A candidate counts only after it has been decoded: base64 and hexadecimal runs to bytes, bytes to key
-encodings (DER: tag by tag, every nested length must add up; the OpenSSH container: every counted
+encodings (wrapped lines joined, PEM texts read; DER: tag by tag, every nested length must add up; the OpenSSH container: every counted
 string must fit), signed tokens to a JSON header that names an algorithm and a JSON payload. A hash in
 running text, a word that happens to be base64 or a truncated key isn't reported.
 """
@@ -25,7 +25,13 @@ from pyspark.sql import types as T
 
 from souk.llm.shared import arrow, nullable
 
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\-]*?)-----END \1-----")
+_PEM = re.compile(r"""-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\-\\"'>|#*;]*?)-----END \1-----""")
+#: What stands between the lines of a wrapped key: a line end, escaped or not, with quotes, joining and quote marks around it.
+_BREAK = re.compile(r"""[ \t]*["']?[ \t]*[+,;\\]?[ \t]*(?:\r?\n|(?:\\+[rn])+)[ \t>|#*]*["']?[ \t]*""")
+#: The first line of a wrapped key or key file: DER's sequence in base64 or hexadecimal, the OpenSSH magic, "-----B".
+_FIRST = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/_=-]))(?:M|30|b3Blbn|LS0tLS1C)[A-Za-z0-9+/_-]{30,}={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_ARMOUR = re.compile(r"""-----BEGIN ([A-Z0-9 ]+)-----(?:[\s>|#*"']|\\+[rn])*\Z""")
 _JWT = re.compile(r"(?<![\w.-])e[wy][\w-]{8,}\.[\w-]{4,}\.[\w-]*(?![\w-])", re.A)
 _CLOUD = re.compile(r"(?<![A-Za-z0-9])A(?:KI|SI)A[A-Z2-7]{16}(?![A-Za-z0-9])")
 _FORGE = re.compile(r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
@@ -146,10 +152,37 @@ def entropy(raw: bytes | str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(raw).values()) if n else 0.0
 
 
+def pem_key(body: str) -> str | None:
+    """The kind of private key between a PEM's marks, whatever its lines are escaped, quoted or marked with."""
+    lines = [x.strip(" \t") for x in _BREAK.sub("\n", body.replace("\\/", "/")).splitlines()]
+    raw = unbase64("".join(x.strip(" \t>|#*\"',;\\") for x in lines if ":" not in x))
+    if raw is None:
+        return None
+    return der_key(raw) or openssh_key(raw) or ("encrypted" if "Proc-Type" in body and len(raw) % 8 == 0 and len(raw) >= 64 else None)
+
+
 def key_bytes(raw: bytes) -> str | None:
+    if b"PRIVATE KEY-----" in raw:
+        return next((kind for m in _PEM.finditer(raw.decode("latin-1")) if (kind := pem_key(m[2]))), None)
     return der_key(raw) or openssh_key(raw)
 
 
+def wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, kind) of keys in base64 or hexadecimal over lines of one width, the last at most as wide."""
+    for m in _FIRST.finditer(text):
+        if (armour := _ARMOUR.search(text[max(0, m.start() - 100) : m.start()])) and "PRIVATE KEY" not in armour[1]:
+            continue
+        lines, ends = [m[0]], [m.end()]
+        while not lines[-1].endswith("=") and len(lines[-1]) == len(lines[0]) and (b := _BREAK.match(text, ends[-1])) and (x := _LINE.match(text, b.end())) and len(x[0]) <= len(lines[0]):
+            lines.append(x[0])
+            ends.append(x.end())
+        for n in (len(lines), len(lines) - 1):  # the last may be a word of what follows
+            joined = "".join(lines[:n])
+            if n and (raw := unhex(joined) or unbase64(joined)) and (kind := key_bytes(raw)):
+                yield m.start(), ends[n - 1], kind
+                break
+
+
 def opaque(value: str) -> str | None:
     """Why a value assigned to a secret's name is one: it decodes to random bytes of a usual length."""
     if (raw := unhex(value)) is not None and len(raw) >= 8:
@@ -185,10 +218,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
 
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            lines = [x for x in m[2].strip().splitlines() if ":" not in x]
-            raw = unbase64("".join(lines))
-            sealed = "Proc-Type" in m[2] and raw is not None and len(raw) % 8 == 0 and len(raw) >= 64
-            add(m.start(), m.end(), "private key", (raw is not None and key_bytes(raw)) or ("encrypted" if sealed else None))
+            add(m.start(), m.end(), "private key", pem_key(m[2]))
     if "." in text and ("eyJ" in text or "ewo" in text or "eyA" in text):
         for m in _JWT.finditer(text):
             add(m.start(), m.end(), "signed token", signed_token(m[0]))
@@ -211,6 +241,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for m in _RUN.finditer(text):
         raw = unhex(m[0].rstrip("=")) or unbase64(m[0])
         add(m.start(), m.end(), "private key", raw and key_bytes(raw))
+    for b, e, kind in wrapped(text):
+        add(b, e, "private key", kind)
     out: list[tuple[int, int, str, str]] = []
     for h in sorted(hits, key=lambda h: (h[0], -h[1])):
         if not out or h[0] >= out[-1][1]:

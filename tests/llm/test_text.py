@@ -69,6 +69,21 @@ def test_confirmed_secrets():
     assert kinds("DB_PASSWORD: q8Zr2LxP0vT7sWk4Hn9Y") == [("named secret", "base64 15")]
 
 
+def test_wrapped_keys():
+    key = pem("RSA PRIVATE KEY", PKCS1)
+    flat = base64.b64encode(PKCS8).decode()
+    lines = [flat[i : i + 64] for i in range(0, len(flat), 64)]
+    hexed = [PKCS8.hex()[i : i + 64] for i in range(0, 2 * len(PKCS8), 64)]
+    for text, kind in (
+        (json.dumps({"type": "service_account", "private_key": key + "\n"}), "pkcs1"), (json.dumps(json.dumps({"private_key": key})), "pkcs1"), ("KEY='" + key.replace("\n", "\\r\\n") + "'", "pkcs1"),
+        ("\n".join("> " + x for x in key.split("\n")), "pkcs1"), ("\n".join(f'  "{x}\\n" +' for x in key.split("\n")), "pkcs1"),
+        ("see\n" + "\n".join(lines) + "\nthat was it", "pkcs8"), ("\\n".join(lines), "pkcs8"), ("\n".join("> " + x for x in lines), "pkcs8"), ("\n".join(hexed), "pkcs8"),
+        ("data:\n  key: " + base64.b64encode(key.encode()).decode(), "pkcs1"), (base64.encodebytes(key.encode()).decode(), "pkcs1"),
+    ):
+        assert kinds(text) == [("private key", kind)], text[:80]
+    assert kinds("\n".join([*lines[:-2], "and then prose follows"])) == []
+
+
 def test_unconfirmed_candidates():
     broken = pem("RSA PRIVATE KEY", PKCS1[:200])
     for text in (
