@@ -298,6 +298,16 @@ def test_repeats_equal_brute_force(spark):
     assert out[0] == texts[0] and out[39] is None and len(out[5]) < len(texts[5]) - chunks.RUN
 
 
+def test_every_source_of_a_run_is_named(spark):
+    a, b = prose(41, 120), prose(42, 200)
+    both = b + " " + a + " " + prose(43, 100)
+    d = docs(spark, [a, both, both + " end", prose(44, 50) + " " + b])
+    got = {(r.doc_id, r.source_doc_id) for r in chunks.repeats(d).collect()}
+    assert got == {(1, 0), (2, 1), (2, 0), (3, 1)}
+    out = {r.doc_id: r.text for r in chunks.cut_out(d).collect()}
+    assert out[0] == a and len(out[2]) < 100
+
+
 def test_repeats_on_hard_tables(spark):
     h = hard(spark)
     assert {(r.doc_id, r.source_doc_id) for r in chunks.repeats(h).collect()} == {(5, 4)}
