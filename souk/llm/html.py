@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,9 +20,12 @@ from pyspark.sql import types as T
 
 from souk.llm.shared import arrow
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)>""", re.S)
+#: Quotes count after "=" alone; a tag that never closes ends with the page. Whatever the text, one way to match and no way back.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)(>|\Z)""", re.S)
+#: A character reference of more digits than any character has (the parser of integers refuses the longest).
+_HUGE = re.compile(r"&#[0-9]{8,}+;?")
 _VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style noscript template iframe textarea title svg math".split()}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in "script style noscript template iframe textarea title svg math".split()}
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 #: An opening tag of the key ends an open element of these, up to the nearest of the limits.
 _ENDS = {t: (frozenset({"p"}), frozenset({"table", "td", "th", "button", "caption"})) for t in _BLOCK - {"body", "br", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "caption"}} | {
@@ -37,33 +41,42 @@ _ENDS = {t: (frozenset({"p"}), frozenset({"table", "td", "th", "button", "captio
 
 
 class Dom:
-    """Nodes in document order: tag, parent, and the last node of the subtree; texts as (node, text)."""
+    """Nodes in document order: tag, parent, and the last node of the subtree; texts as (node, text).
+
+    ``where`` has the open elements of each tag by their place in the stack, so that none is searched for.
+    """
 
     def __init__(self, html: str):
         self.tag, self.parent, self.last, self.texts, self.body = ["#root"], [-1], [0], [], 0
-        stack, at = [0], 0
+        stack, at, where = [0], 0, defaultdict(list)
         find = _TAG.search
 
         def close(to: int) -> None:
             n = len(self.tag) - 1
             while len(stack) > to:
-                self.last[stack.pop()] = n
+                v = stack.pop()
+                self.last[v] = n
+                if v:
+                    where[self.tag[v]].pop()
+
+        def innermost(tags: frozenset) -> int:
+            return max((where[t][-1] for t in tags if where[t]), default=0)
 
         while True:
             m = find(html, at)
             if (text := html[at : m.start() if m else len(html)]) and not text.isspace():
-                self.texts.append((stack[-1], unescape(text) if "&" in text else text))
+                self.texts.append((stack[-1], unescape(_HUGE.sub("\ufffd", text)) if "&" in text else text))
             if not m:
                 break
             at, name = m.end(), m[2]
             if not name:
                 continue
+            if not m[4]:
+                break
             name = name.lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        close(k)
-                        break
+                if where[name]:
+                    close(where[name][-1])
                 continue
             if name in ("html", "head"):
                 continue
@@ -71,14 +84,8 @@ class Dom:
                 if self.body:
                     continue
                 close(1)
-            elif (ends := _ENDS.get(name)) is not None:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
-                    if t in ends[0]:
-                        close(k)
-                        break
-                    if t in ends[1]:
-                        break
+            elif (ends := _ENDS.get(name)) is not None and (k := innermost(ends[0])) > innermost(ends[1]):
+                close(k)
             self.tag.append(name)
             self.parent.append(stack[-1])
             self.last.append(len(self.tag) - 1)
@@ -88,6 +95,7 @@ class Dom:
                 end = _RAW[name].search(html, at)
                 at = end.end() if end else len(html)
             elif name not in _VOID and not m[3].endswith("/") or name == "a":
+                where[name].append(len(stack))
                 stack.append(len(self.tag) - 1)
         close(0)
 
@@ -178,7 +186,9 @@ def extracted(df: DataFrame, page_id: str = "page_id", html: str = "html") -> Da
 
     A null page has a null text, an empty one or one without text "". Broken markup is read as browsers
     would in the cases that matter here: unclosed elements end with their parents, stray end tags are
-    skipped. Ties go to the first node. Repeated rows are extracted each; an empty table gives no rows.
+    skipped, a tag cut off by the page's end is none. Ties go to the first node. Pages are read whole, in time
+    linear in their length. Repeated rows are extracted each; an empty table gives no rows; other columns
+    are ignored.
     """
     given = df.select(F.col(page_id).alias("page_id"), F.col(html).alias("html"))
 

@@ -17,8 +17,8 @@ N = 1 << 20
 LIMIT = 20
 
 
-def filled(part: str) -> str:
-    return part * (N // len(part))
+def filled(part: str, size: int = N) -> str:
+    return part * (size // len(part))
 
 
 def der_line(claim: int) -> str:
@@ -96,3 +96,50 @@ def brute_names(text):
 @given(st.lists(st.sampled_from(["token", "api_key", "my", "secrets", "tokens2", "_", "-", ".", " ", "=", ":", '"', "9f86d081884c7d659a2feaa0c55ad015", "q8Zr2LxP0vT7sWk4Hn9Y", "\n", "pass"]), max_size=9).map("".join))
 def test_named_secrets_equal_brute_force(text):
     assert [(b, e) for b, e, kind, _ in secrets.find(text) if kind == "named secret"] == brute_names(text)
+
+
+PAGES = ['<a b="x ', "<a ", "<div>", "</x>", "<div><p>", "<a b='x \"", "<!--", "<script ", "</script ", "<ul><li>", "<button><div>", "<p><button>", "&#9", '"', '<a b=">', "<td>", "<svg>", "< ", "<![CDATA[", "&", "<div></x>"]
+
+
+@pytest.mark.parametrize("part", PAGES, ids=range(len(PAGES)))
+def test_extraction_is_linear(part):
+    for page in (filled(part), f"<body>{filled(part, N // 4)}<p>text</p>", f"<script>{filled(part, N // 4)}", "<div>" * 50_000 + filled(part, N // 4)):
+        began = time.perf_counter()
+        assert isinstance(html.extract(page), str)
+        assert time.perf_counter() - began < LIMIT
+
+
+def test_broken_pages():
+    assert html.extract("&#" + "9" * 10_000 + "; x &amp; y") == "� x & y"
+    assert html.extract('<p>kept</p><a href="x') == "kept" and html.extract("<p title=a>b>c</p>") == "b>c"
+    assert html.extract("<p a='>' b=\">\" c = '>'>text</p>") == "text" and html.extract("<p a\"b>text</p>") == "text"
+    assert html.extract("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table>").split("\n") == ["a", "b", "c", "d", "e"]
+    assert html.extract("word " * 400_000).split() == ["word"] * 400_000
+
+
+node = st.recursive(st.sampled_from(["Some words of text here. ", "x ", "<a href=1>link</a> ", "<a href=1>one longer link of several words</a>"]), lambda kids: st.tuples(st.sampled_from(["div", "p", "ul", "section", "span"]), st.lists(kids, max_size=4)).map(lambda x: f"<{x[0]}>{''.join(x[1])}</{x[0]}>"), max_leaves=25)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(node, max_size=5).map("".join))
+def test_choice_of_the_subtree_against_definition(page):
+    """The first node of the largest sum over its children, and the linked blocks in it below the path's least density."""
+    dom = html.Dom(f"<body>{page}</body>")
+    density, _ = html.densities(dom)
+    n, b = len(dom.tag), dom.body
+    kids = [[u for u in range(n) if dom.parent[u] == v] for v in range(n)]
+
+    def path(v):
+        return [v] if v == b else [v, *path(dom.parent[v])]
+
+    def subtree(v):
+        return [v, *(x for u in kids[v] for x in subtree(u))]
+
+    sums = {v: sum(density[u] for u in kids[v]) for v in subtree(b)}
+    best, below = html.content(dom)
+    assert best == min(v for v in sums if sums[v] >= max(sums.values()) - 1e-9 * max(1, max(sums.values()))) or sums[best] == pytest.approx(max(sums.values()))
+    least = min(density[v] for v in path(best))
+    linked = {v for v in subtree(best)[1:] if any(dom.tag[u] == "a" for u in [*subtree(v), *path(v)])}
+    assert below == {v for v in linked if dom.tag[v] in html._BLOCK and density[v] < least}
+    kept = [t for v, t in dom.texts if best in path(v) and not below & set(path(v)[: path(v).index(best)])] if best else [t for _, t in dom.texts]
+    assert "".join(html.extract(f"<body>{page}</body>").split()) == "".join("".join(kept).split())
