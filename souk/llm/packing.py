@@ -1,21 +1,22 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Each source is a queue of documents in the order of doc_id. Window after window every live source
-gets a quantum in proportion to its target share; what the whole tokens of a quantum leave over is the
-source's deficit, carried to the next window, so after any number of windows no source is more than two
-tokens from its target. A document that outlasts the quantum goes on in the next window. A source that
-runs out passes its share to the others, in the very window where it ends.
-
-While the set of live sources stays the same, the tokens drawn after ``r`` rounds are a closed formula of
-``r`` (``drawn``); the deficits are in it, whatever partition a round is computed in. So the driver walks
-only from one source's end to the next - a schedule whose size depends on the number of sources - and each
-document finds its windows from its offset in its queue, on its own.
+Each source is a queue of documents in the order of doc_id. Round after round every live source's deficit is
+credited its quantum, a share of the window in proportion to its weight; it draws the whole tokens of its
+deficit and carries the rest on. Nothing resets a deficit: not a window's end, nor another source's end, which
+only makes the quanta of those left larger within that very round. Quanta below one token add up over rounds.
+Deficits begin at spread fractions, so that small sources don't draw in the same round. A document that
+outlasts the draw goes on in the next round.
+
+The credit of all rounds up to ``k`` is ``weight * time(k)`` with one ``time`` for all sources, the moment at
+which they have drawn ``k`` windows in the fluid limit; so what a source has drawn (``Plan.drawn``) is a closed
+formula of ``k``, the deficit is in it, and each document finds its rounds from its offset in its queue, in
+whatever partition. The whole tokens of a round are a few more or less than a window; laid end to end in the
+order of (round, source) they are cut into windows of exactly ``size`` tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,135 +31,124 @@ from souk.llm.textkit import portions, strings, words
 WINDOW = 2048
 #: Exponent that flattens the sources' own sizes to their default target shares.
 FLATTEN = 0.7
-SCALE = 100_000
+#: The share of a source that ``targets`` leaves out.
+LEAST_SHARE = 1e-6
 _TEXT = np.array([chr(b) not in " \t\n\r\f\v" for b in range(256)])
 
 
-@dataclass(frozen=True)
-class Stretch:
-    """Tokens [begin, end) of a source's queue: ``rounds`` windows from ``window`` on, or, where total is 0, one window from place ``low``."""
+def shares(tokens: dict, targets: dict | None = None) -> dict:
+    """The weights of the sources, summing to 1: their targets, or else their own sizes flattened."""
+    wanted = {s: max(0.0, float(targets.get(s) or 0)) if targets else n**FLATTEN for s, n in tokens.items()}
+    whole = sum(wanted.values()) or 1.0
+    return {s: w / whole or LEAST_SHARE for s, w in wanted.items()}
 
-    begin: int
-    end: int
-    window: int
-    low: int
-    high: int
-    total: int
 
+class Plan:
+    """What the sources have drawn after any number of rounds; as large as the list of sources.
 
-def drawn(r, size: int, low: int, high: int, total: int):
-    """Tokens a source with the cumulative weights [low, high) of total has drawn after r rounds."""
-    return r * size * high // total - r * size * low // total
+    ``tokens``, ``weight``, ``deficit`` (the first one, between 0 and 1) and ``ends`` (the time when a source has
+    drawn all) by source; ``knot``, ``done``, ``live``: the ends in order, the tokens of the sources that ended
+    before each, and the weight of the others; ``drained``: all tokens drawn at each end.
+    """
 
+    def __init__(self, tokens, weights, size: int = WINDOW):
+        self.size, self.tokens, self.weight = size, np.asarray(tokens, np.float64), np.asarray(weights, np.float64)
+        n = len(self.tokens)
+        self.deficit = ((np.arange(n) * 40503 & 0xFFFF) + 0.5) / 65536  # multiples of the golden ratio, spread evenly
+        self.ends = self.tokens / self.weight
+        order = np.argsort(self.ends, kind="stable")
+        self.knot = self.ends[order]
+        before = np.concatenate([[0.0], np.cumsum(self.tokens[order])])
+        after = np.concatenate([np.cumsum(self.weight[order][::-1])[::-1], [0.0]])
+        self.done, self.live = before, after
+        self.drained = before[1:] + self.knot * after[1:]
+        self.whole = before[-1]
+
+    def time(self, k: np.ndarray) -> np.ndarray:
+        """The moment at which ``k`` windows are drawn; never falling in ``k``."""
+        y = np.asarray(k, np.float64) * self.size
+        i = np.minimum(np.searchsorted(self.drained, y, "left"), len(self.knot) - 1)
+        low = np.where(i > 0, self.knot[i - 1], 0.0)
+        t = np.clip((y - self.done[i]) / self.live[i], low, self.knot[i])
+        return np.where(y >= self.whole, np.inf, t)
+
+    def round_at(self, t: np.ndarray) -> np.ndarray:
+        """The round of a moment, give or take one."""
+        i = np.searchsorted(self.knot, t, "right")
+        return ((self.done[i] + np.where(i < len(self.knot), t, 0.0) * self.live[i]) // self.size).astype(np.int64)
+
+    def drawn(self, source: int, k: np.ndarray) -> np.ndarray:
+        """Tokens that the source has drawn before round ``k``: the whole ones of its first deficit and all its credits."""
+        t, end = self.time(k), self.ends[source]
+        n = np.floor(self.weight[source] * np.minimum(t, end) + self.deficit[source])
+        return np.where(t >= end, self.tokens[source], np.minimum(n, self.tokens[source])).astype(np.int64)
+
+    def fragments(self, source: int, begin: np.ndarray, count: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, round, first token, tokens) of documents at offsets ``begin`` of the source's queue, each of a token at least.
+
+        In parts of at most ``most``: a long document of a small source has a fragment for nearly each of its tokens.
+        """
+
+        def round_of(x: np.ndarray) -> np.ndarray:
+            k = np.maximum(self.round_at((x + 1 - self.deficit[source]) / self.weight[source]), 0)
+            while (m := self.drawn(source, k) > x).any():
+                k = k - m
+            while (m := self.drawn(source, k + 1) <= x).any():
+                k = k + m
+            return k
+
+        first, last = round_of(begin), round_of(begin + count - 1)
+        upto = np.cumsum(last - first + 1)
+        for at in range(0, int(upto[-1]) if len(upto) else 0, most):
+            flat = np.arange(at, min(at + most, int(upto[-1])))
+            row = np.searchsorted(upto, flat, "right")
+            k = last[row] + 1 - (upto[row] - flat)
+            b = np.maximum(begin[row], self.drawn(source, k))
+            e = np.minimum(begin[row] + count[row], self.drawn(source, k + 1))
+            some = b < e
+            row, k, b, e = row[some], k[some], b[some], e[some]
+            yield row, k, b - begin[row], e - b
+
+
+def running(df: DataFrame, by: str | None, add: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``add`` over the rows before each in ``order``, of those of the same ``by`` if one is named.
+
+    Prefix sums in two levels: within the partitions of a range partitioning by ``order``, and over the partitions'
+    totals; a hot value spreads over as many partitions as its size asks for. ``df`` is a written table, as
+    partitioning by range reads its input once more for the bounds. Written in that order.
+    """
+    names = df.columns
+    at_by, at_add = names.index(by) if by else None, names.index(add)
 
-def shares(tokens: dict, size: int = WINDOW, targets: dict | None = None) -> dict:
-    """Whole weights of the sources: their targets, or else their own sizes flattened; at least one token a window."""
-    wanted = {s: float(targets.get(s, 0)) if targets else n**FLATTEN for s, n in tokens.items()}
-    whole = sum(wanted.values()) or 1.0
-    return {s: max(-(-2 * SCALE // size), round(SCALE * w / whole)) for s, w in wanted.items()}
-
-
-def schedule(tokens: dict, weights: dict, size: int = WINDOW) -> dict[object, list[Stretch]]:
-    """Per source its stretches. Tokens: whole counts by source. The order of ``weights`` is the round's order."""
-    if len(tokens) * 4 > size:
-        raise ValueError("a window needs at least four tokens for each source")
-    left = {s: tokens[s] for s in weights if tokens[s] > 0}
-    at = dict.fromkeys(left, 0)
-    out: dict[object, list[Stretch]] = {s: [] for s in tokens}
-    window = 0
-    while left:
-        total, low, bounds = sum(weights[s] for s in left), 0, {}
-        for s in left:
-            bounds[s] = (low, low + weights[s])
-            low += weights[s]
-
-        def most(s) -> int:
-            lo, hi = 0, left[s] * total // (size * weights[s]) + 2 * total
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if drawn(mid, size, *bounds[s], total) <= left[s] else (lo, mid - 1)
-            return lo
-
-        rounds = min(most(s) for s in left)
-        quota = {}
-        for s in left:
-            n = drawn(rounds, size, *bounds[s], total)
-            if n:
-                out[s].append(Stretch(at[s], at[s] + n, window, *bounds[s], total))
-            quota[s] = drawn(rounds + 1, size, *bounds[s], total) - n
-            at[s] += n
-            left[s] -= n
-        window += rounds
-        if not all(left.values()):  # a source ended with a window
-            left = {s: n for s, n in left.items() if n}
-            continue
-        # the window in which a source ends: its share goes round among those that still have tokens
-        take = {s: min(quota[s], left[s]) for s in left}
-        room = size - sum(take.values())
-        while room and (live := [s for s in left if take[s] < left[s]]):
-            heavy = sum(weights[s] for s in live)
-            for s in live:
-                n = min(max(1, room * weights[s] // heavy), left[s] - take[s], size - sum(take.values()))
-                take[s] += n
-            room = size - sum(take.values())
-        place = 0
-        for s, n in take.items():
-            if n:
-                out[s].append(Stretch(at[s], at[s] + n, window, place, 0, 0))
-            place += n
-            at[s] += n
-            left[s] -= n
-        window += any(take.values())
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
-def fragments(begin: np.ndarray, count: np.ndarray, stretches: list[Stretch], size: int) -> tuple[np.ndarray, ...]:
-    """(row, window, position, first token, tokens) of documents at offsets ``begin`` of one queue."""
-    parts = []
-    for x in stretches:
-        b, e = np.maximum(begin, x.begin), np.minimum(begin + count, x.end)
-        rows = np.flatnonzero(b < e)
-        b, e = b[rows], e[rows]
-        if not len(rows):
-            continue
-        if not x.total:
-            parts.append((rows, np.full(len(rows), x.window), x.low + b - x.begin, b - begin[rows], e - b))
-            continue
-
-        def of(r):
-            return drawn(r, size, x.low, x.high, x.total)
-
-        def round_of(y):
-            r = y * x.total // (size * (x.high - x.low))
-            while (m := of(r) > y).any():
-                r = r - m
-            while (m := of(r + 1) <= y).any():
-                r = r + m
-            return r
-
-        first, last = round_of(b - x.begin), round_of(e - 1 - x.begin)
-        n = last - first + 1
-        each = np.repeat(np.arange(len(rows)), n)
-        r = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        fb, fe = np.maximum(b[each], x.begin + of(r)), np.minimum(e[each], x.begin + of(r + 1))
-        some = fb < fe
-        each, r, fb, fe = each[some], r[some], fb[some], fe[some]
-        place = (r + 1) * size * x.low // x.total - r * size * x.low // x.total
-        parts.append((rows[each], x.window + r, place + fb - x.begin - of(r), fb - begin[rows[each]], fe - fb))
-    if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(p) for p in zip(*parts))
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        part, sums, total = TaskContext.get().partitionId(), {}, 0
+        for batch in batches:
+            n = batch.column(at_add).to_numpy()
+            if at_by is None:
+                begin = total + np.cumsum(n) - n
+                total += int(n.sum())
+            else:
+                begin = []
+                for s, x in zip(batch.column(at_by).to_pylist(), n.tolist()):
+                    begin.append(sums.get(s, 0))
+                    sums[s] = begin[-1] + x
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begin, pa.int64()), pa.array([part] * batch.num_rows, pa.int32())], names=[*names, name, "part"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType()), T.StructField("part", T.IntegerType())])
+    placed = table(arrow(df.repartitionByRange(*order[:2]).sortWithinPartitions(*order), local, schema), name)
+    over = F.lit(0) if by is None else F.col(by)
+    totals = placed.groupBy(F.col("part").alias("p"), over.alias("s")).agg(F.sum(add).alias("n"))
+    before = totals.select("p", "s", F.coalesce(F.sum("n").over(W.partitionBy("s").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # one row for each partition and value in it: far below the size of the table, and Spark's own threshold decides on broadcasting
+    met = placed.join(before, (F.col("part") == F.col("p")) & over.eqNullSafe(F.col("s")))
+    return met.select(*names, (F.col(name) + F.col("before")).alias(name))
 
-def queues(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, tokens, begin): each document's place in its source's queue. Tokens: runs without ASCII white space.
 
-    Prefix sums in two levels: within the partitions of a range partitioning by (source, doc_id), and
-    over the partitions' totals; a hot source spreads over as many partitions as its size asks for.
-    """
+def queues(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, tokens, begin): each document's place in its source's queue. Tokens: runs without ASCII white space."""
     given = df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    kind = given.schema["doc_id"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,55 +159,48 @@ def queues(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
                 n.append(np.diff(first))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n) if n else [], pa.int64())], names=["doc_id", "source", "tokens"])
 
-    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    counted = T.StructType([given.schema["doc_id"], T.StructField("source", T.StringType()), T.StructField("tokens", T.LongType())])
+    some = table(arrow(given, count, counted).filter("tokens > 0"), "counted")
+    return running(some, "source", "tokens", ["source", "doc_id", "tokens"], "begin")
 
-        part, sums = TaskContext.get().partitionId(), {}
+
+def rounds(placed: DataFrame, plan: Plan, index: dict) -> DataFrame:
+    """(round, rank, at, doc_id, source, start, n_tokens): what each document of ``queues`` gives to which round; rank: of its source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begin = []
-            for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                begin.append(sums.get(s, 0))
-                sums[s] = begin[-1] + n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begin, pa.int64()), pa.array([part] * len(begin), pa.int32())], names=["doc_id", "source", "tokens", "begin", "part"])
-
-    counted = T.StructType([kind, T.StructField("source", T.StringType()), T.StructField("tokens", T.LongType())])
-    placed = T.StructType([*counted.fields, T.StructField("begin", T.LongType()), T.StructField("part", T.IntegerType())])
-    # written first, as partitioning by range reads its input once more for the bounds
-    some = table(arrow(given, count, counted).filter("tokens > 0"), "counted")
-    local = table(arrow(some.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id", "tokens"), running, placed), "queues")
-    totals = local.groupBy("part", "source").agg(F.sum("tokens").alias("n"))
-    before = totals.select(F.col("part").alias("p"), F.col("source").alias("s"), F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    # one row for each partition and source in it: far below the size of the queues, and Spark's own threshold decides on broadcasting
-    return local.join(before, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "tokens", (F.col("begin") + F.col("before")).alias("begin"))
+            rank = np.array([index[s] for s in batch.column(1).to_pylist()], np.int64)
+            count, begin = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            order = np.argsort(rank, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(rank[order])) + 1):
+                s = int(rank[rows[0]]) if len(rows) else 0
+                for row, k, start, n in plan.fragments(s, begin[rows], count[rows]):
+                    at = pa.array(rows[row], pa.int64())
+                    columns = [pa.array(k, pa.int64()), pa.array(np.full(len(k), s), pa.int32()), pa.array(begin[rows[row]] + start, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int64()), pa.array(n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["round", "rank", "at", "doc_id", "source", "start", "n_tokens"])
+
+    longs = {n: T.StructField(n, T.LongType()) for n in ("round", "at", "start", "n_tokens")}
+    return arrow(placed, run, T.StructType([longs["round"], T.StructField("rank", T.IntegerType()), longs["at"], placed.schema["doc_id"], placed.schema["source"], longs["start"], longs["n_tokens"]]))
 
 
 def pack(df: DataFrame, size: int = WINDOW, targets: dict | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(window, position, doc_id, source, start, n_tokens): the fragments that fill the windows.
 
     Every window but the last holds exactly ``size`` tokens; every token of every document is in one
-    window. Null and blank texts have no tokens; a null source is a queue of its own; repeated rows are
-    packed each for itself; a document may span any number of windows; an empty table gives no rows.
-    ``targets``: shares by source (a source left out gets the least share), else see ``shares``.
+    window. Any number of sources; null and blank texts have no tokens; a null source is a queue of its own;
+    repeated rows are packed each for itself, ties in doc_id by their sizes; a document may span any number of
+    windows; an empty table gives no rows; other columns are ignored. ``targets``: shares by source, a source
+    left out (or at 0) gets a millionth until the others end; without targets see ``shares``.
     """
     placed = table(queues(df, doc_id, text, source), "placed")
     tokens = {r["source"]: r["n"] for r in placed.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row a source
-    order = sorted(tokens, key=lambda s: (s is not None, s or ""))
-    tokens = {s: tokens[s] for s in order}
-    weights = shares(tokens, size, targets)
-    plan = schedule(tokens, weights, size)
-    kind = placed.schema["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column(1).to_pylist()
-            count, begin = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            by: dict = {}
-            for i, s in enumerate(names):
-                by.setdefault(s, []).append(i)
-            for s, at in by.items():
-                at = np.array(at)
-                row, window, place, start, n = fragments(begin[at], count[at], plan[s], size)
-                at = pa.array(at[row], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(window, pa.int64()), pa.array(place, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int64()), pa.array(n, pa.int32())], names=["window", "position", "doc_id", "source", "start", "n_tokens"])
-
-    return arrow(placed, run, T.StructType([T.StructField("window", T.LongType()), T.StructField("position", T.IntegerType()), kind, T.StructField("source", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.IntegerType())]))
+    names = sorted(tokens, key=lambda s: (s is not None, s or ""))
+    weights = shares(tokens, targets)
+    plan = Plan([tokens[s] for s in names], [weights[s] for s in names], size)
+    each = table(rounds(placed, plan, {s: i for i, s in enumerate(names)}), "rounds")
+    laid = running(each, None, "n_tokens", ["round", "rank", "at"], "place")
+    last = F.col("place") + F.col("n_tokens") - 1
+    parts = laid.withColumn("window", F.explode(F.sequence(F.expr(f"place div {size}"), F.expr(f"(place + n_tokens - 1) div {size}"))))
+    low = F.greatest(F.col("place"), F.col("window") * size)
+    high = F.least(last + 1, (F.col("window") + 1) * size)
+    return parts.select("window", (low - F.col("window") * size).cast("int").alias("position"), "doc_id", "source", (F.col("start") + low - F.col("place")).alias("start"), (high - low).cast("int").alias("n_tokens"))
