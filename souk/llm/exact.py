@@ -24,6 +24,8 @@ from souk.llm.shared import arrow, free_name, nullable
 P = (1 << 61) - 1
 BASE = 0x1D8AF54D1C3B2A17 % P
 CHUNK = 1 << 12
+#: Bytes of texts that a task holds to know their copies in later batches; beyond, copies are sent to be compared.
+HELD = 32 << 20
 _M32 = np.uint64(0xFFFFFFFF)
 _P = np.uint64(P)
 
@@ -74,6 +76,15 @@ def same(a, b, chunk: int = 1 << 16) -> bool:
     return all(a[i : i + chunk] == b[i : i + chunk] for i in range(0, len(a), chunk))
 
 
+def orderable(kind: T.DataType) -> bool:
+    """Whether Spark sorts values of the type."""
+    if isinstance(kind, T.ArrayType):
+        return orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def _mark(df: DataFrame, doc_id: str, text: str, everything: bool) -> tuple[DataFrame, str]:
     """Rows with the id of the first row of the same text (null for a first row), and that column's name.
 
@@ -90,6 +101,7 @@ def _mark(df: DataFrame, doc_id: str, text: str, everything: bool) -> tuple[Data
     at_text = base.columns.index(text)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = {}, HELD
         for batch in batches:
             texts, ids = batch.column(at_text).cast(pa.large_binary()), batch.column(at_id).to_pylist()
             found, brief, local = [], [None] * len(ids), {}
@@ -99,11 +111,19 @@ def _mark(df: DataFrame, doc_id: str, text: str, everything: bool) -> tuple[Data
                     first = local.setdefault(found[i], i)
                     if ids[i] < ids[first]:
                         local[found[i]] = i
-            # combined before the shuffle: of the copies within a batch only the first sends its text
+            # combined before the shuffle: of the copies within a batch, and of those held from earlier ones, only the first sends its text
             for i, k in enumerate(found):
                 first = local.get(k, i) if k[0] is not None and ids[i] is not None else i
-                if ids[first] != ids[i] and same(memoryview(texts[first].as_buffer()), memoryview(texts[i].as_buffer())):
-                    brief[i] = blake2b(texts[i].as_buffer(), digest_size=16).digest()
+                if k[0] is None or ids[i] is None:
+                    continue
+                raw = memoryview(texts[i].as_buffer())
+                if ids[first] != ids[i] and same(memoryview(texts[first].as_buffer()), raw):
+                    brief[i] = blake2b(raw, digest_size=16).digest()
+                elif (before := held.get(k)) and before[0] < ids[i] and same(before[1], raw):
+                    brief[i] = blake2b(raw, digest_size=16).digest()
+                elif before or len(raw) + 200 <= room:  # a smaller id takes the place of the one held
+                    room -= 0 if before else len(raw) + 200
+                    held[k] = (ids[i], bytes(raw))
             mine = pa.array([b is None for b in brief])
             columns = list(batch.columns)
             if not everything:
@@ -114,7 +134,7 @@ def _mark(df: DataFrame, doc_id: str, text: str, everything: bool) -> tuple[Data
 
     # a null text equals nothing; spread those rows instead of gathering them under one key
     order = F.coalesce(F.col(fp), F.xxhash64(doc_id))
-    others = [c for c in base.columns if c not in (doc_id, text) and not isinstance(plain[c], (T.MapType, T.VariantType))]
+    others = [c for c in base.columns if c not in (doc_id, text) and orderable(plain[c])]
     met = arrow(base, prints, keyed).withColumn(key, order).repartition(key)
     met = met.sortWithinPartitions(key, n, F.col(doc_id).asc_nulls_last(), *others)
     out = T.StructType([*(fields if everything else [f for f in fields if f.name == doc_id]), T.StructField(of, id_type), T.StructField(again, T.BooleanType())])
@@ -161,6 +181,11 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first row (smallest doc_id, then the other columns) of each text, all columns as they were; null texts all stay."""
+    """The first row (smallest doc_id, then the other columns) of each text, all columns as they were; null texts all stay.
+
+    Columns that have no order (maps, in whatever nesting) decide no tie: any of the rows then stays. A null doc_id
+    comes last; of repeated rows one stays; the empty text is a text; texts of any length are compared whole; an
+    empty table gives an empty one; columns named like internal ones are kept.
+    """
     marked, _ = _mark(df, doc_id, text, True)
     return marked.filter(~marked[marked.columns[-1]]).select(*[marked[c] for c in df.columns])

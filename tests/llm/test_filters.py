@@ -106,6 +106,21 @@ def test_exact_pairs_and_kept(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3, 5, 6, 8, 9]
 
 
+def test_copies_of_later_batches_and_columns_without_order(spark):
+    """Copies that lie in other batches of a task, in falling and rising ids; maps in whatever nesting."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        texts = [prose(i % 4, 50) for i in range(20)] + ["", None, ""]
+        for d in (docs(spark, texts), docs(spark, texts).orderBy(F.desc("doc_id"))):
+            d = d.coalesce(1).withColumn("m", F.create_map("lang", "source")).withColumn("am", F.array("m")).withColumn("sm", F.struct(F.struct("am").alias("in")))
+            assert sorted((r.doc_id, r.duplicate_of) for r in exact.duplicates(d).collect()) == sorted([(i, i % 4) for i in range(4, 20)] + [(22, 20)])
+            kept = exact.keep(d)
+            assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 20, 21]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_exact_survives_colliding_fingerprints(spark, monkeypatch):
     """With every fingerprint of a length the same, the comparison alone decides."""
     monkeypatch.setattr(exact, "fingerprint", lambda raw, *_: 7)
