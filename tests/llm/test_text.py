@@ -322,33 +322,71 @@ def test_loser_tree(runs):
     assert list(warc.LoserTree([sorted(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
-def test_histories_equal_sql(spark):
+@pytest.mark.parametrize("size", [warc.RANGE, 1000, 300])
+def test_histories_equal_sql(spark, size):
+    """Whatever the ranges: with 300 bytes each, the two hot URLs go on over many of them."""
     import duckdb
 
     urls = ["http://www.A.com:80/x/?b=2&a=1#f", "https://a.com/x?a=1&b=2", "https://u@b.org", None, "", "http://b.org/", "ftp://c.d.e:8080/p//"]
-    rows = [(i, urls[i % 7], f"<p>{i // 14}</p>") for i in range(60)] + [(3, urls[3], None)] * 2 + [(None, urls[0], "x")]
-    d = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("digest", F.lit("mine"))
+    rows = [(i, urls[i % 7], f"<p>{i // 14}</p>") for i in range(60)] + [(3, urls[3], None)] * 2 + [(None, urls[0], "x")] + [(100 + i, urls[5], f"{i // 3}") for i in range(80)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("digest", F.lit("mine")).withColumn("range", F.lit("mine"))
     con = duckdb.connect()
     con.register("pages", d.toPandas().astype({"page_id": "Int64"}))
     want = con.sql(warc.HISTORY_SQL)
-    got = warc.histories(d.repartition(7))
+    got = warc.histories(d.repartition(7), size=size)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
-    order = [(r.url_key, r.timestamp) for r in got.collect()]
+    order = [(r.url_key, r.timestamp, r.page_id is not None, r.page_id or 0) for r in got.collect()]
     assert order == sorted(order)
-    assert warc.histories(d.limit(0)).count() == 0
+    assert warc.histories(d.limit(0), size=size).count() == 0
+    if size == 300:
+        cuts = warc.bounds(warc.runs(warc.captures(d)), size)
+        assert len(cuts) > 20 and len({c[0] for c in cuts}) < len(cuts)
+
+
+def test_stamps_are_utc(spark):
+    d = spark.createDataFrame([(0, "u", "x", "2024-03-31T01:30:00Z"), (1, "u", "x", None), (2**62, "u", "x", "2024-03-31T02:30:00Z"), (-(2**63), "u", "x", "0001-01-01T00:00:00Z"), (None, "u", "x", "9999-12-31T23:59:59Z")], "page_id bigint, url string, html string, at string").withColumn("at", F.to_timestamp("at"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Europe/Berlin", "America/Sao_Paulo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert [r.timestamp for r in warc.histories(d, taken="at").collect()] == ["", "00010101000000", "20240331013000", "20240331023000", "99991231235959"]
+            assert [r.timestamp for r in warc.histories(d).collect()] == ["", "", "", "20240101000000", "20240101000001"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+HEADS = [{"WARC-Type": t, "WARC-Target-URI": "http://a/", "WARC-Date": "2024-01-01T00:00:00Z"} for t in ("response", "request", "metadata")]
 
 
 def test_archive_round_trip(spark, tmp_path):
     blocks = [b"HTTP/1.1 200 OK\r\n\r\n<p>\xc3\xa9</p>", b"", b"WARC/1.0\r\nno: record\r\n\r\n"]
-    heads = [{"WARC-Type": t, "WARC-Target-URI": "http://a/", "WARC-Date": "2024-01-01T00:00:00Z"} for t in ("response", "request", "metadata")]
-    raw = b"".join(warc.record(h, b) for h, b in zip(heads, blocks))
+    raw = b"".join(warc.record(h, b) for h, b in zip(HEADS, blocks))
     assert [b for _, b in warc.records(raw)] == blocks
     (tmp_path / "a.warc.gz").write_bytes(raw)
     got = warc.read_pages(spark.read.format("binaryFile").load(str(tmp_path))).collect()
     assert [(r.url, r.html, r.taken.year) for r in got] == [("http://a/", "<p>é</p>", 2024)]
 
 
+def test_damaged_archives(spark, tmp_path):
+    """What comes before the damage is read; nothing raises."""
+    import gzip
+
+    one = warc.record(HEADS[0], b"HTTP/1.1 200 OK\r\n\r\n" + b"one" * 2000)
+    plain = gzip.decompress(one)
+    broken = plain.replace(b"Content-Length: 60", b"Content-Length: abc60")
+    files = {
+        "cut": one * 2 + one[: len(one) // 2], "bits": one * 2 + bytes([*one[:40], *(b ^ 255 for b in one[40:])]), "foreign": one * 2 + b"no gzip at all", "plain": plain * 2 + plain[:-4000], "length": plain + broken + plain,
+        "huge": plain * 2 + plain.replace(b"Content-Length: 60", b"Content-Length: 99999999960"), "date": plain.replace(b"2024-01-01T", b"2024-99-99T") * 2, "long": plain * 2 + b"x" * 3_000_000, "empty": b"", "text": b"nothing\n" * 1000, "head": plain * 2 + b"WARC/1.0\r\nWARC-Type: response",
+    }
+    for name, raw in files.items():
+        assert len(list(warc.records(raw))) == (0 if name in ("empty", "text") else 2), name
+        (tmp_path / name).write_bytes(raw)
+    got = warc.read_pages(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert len(got) == 2 * 9 and {r.html for r in got} == {"one" * 2000} and sum(r.taken is None for r in got) == 2
+    assert warc.read_pages(spark.createDataFrame([(None, 1)], "content binary, url int")).count() == 0
+
+
 @pytest.fixture(scope="module")
 def bpe():
     pytest.importorskip("sentencepiece")
