@@ -2,13 +2,14 @@
 
 A gear hash rolls over the bytes: each byte shifts the hash left by one and adds its table value, so the
 top bits depend on the last ``SPAN`` bytes alone. Where they are all set a chunk ends; an insertion moves
-the cuts next to it and no others. The chunks' digests meet in one shuffle; a chunk that occurred before,
-in another document, is a repeat, and neighbouring repeats join to repeated spans.
+the cuts next to it and no others. The first document of each digest is an aggregate, combined before its
+shuffle; a chunk that another document had first is a repeat, and neighbouring repeats join to repeated spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.llm.shared import arrow, free_name
-from souk.llm.textkit import U, mix, portions, span_hashes, strings
+from souk.llm.textkit import U, mix, portions, strings
 
 #: Bytes the hash remembers.
 SPAN = 16
@@ -69,7 +70,7 @@ def cuts(offsets: np.ndarray, data: np.ndarray, least: int = LEAST, most: int =
 
 
 def chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST) -> DataFrame:
-    """(doc_id, start, bytes, d1, d2): the chunks of each text, whose 128-bit digest is (d1, d2)."""
+    """(doc_id, start, bytes, d1, d2): the chunks of each text, whose BLAKE2b digest of 128 bits is (d1, d2)."""
     given = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,8 +79,9 @@ def chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
             for i, j in portions(offsets, 2 << 20):
                 off, part = offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
                 row, s, e = cuts(off, part, least, most)
-                digests = [pa.array(span_hashes(part, s, e, seed).view(np.int64)) for seed in (101, 202)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(s - off[row], pa.int64()), pa.array(e - s, pa.int32()), *digests], names=["doc_id", "start", "bytes", "d1", "d2"])
+                raw = part.tobytes()
+                digests = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(s.tolist(), e.tolist())]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(s - off[row], pa.int64()), pa.array(e - s, pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=["doc_id", "start", "bytes", "d1", "d2"])
 
     longs = [T.StructField(n, T.LongType()) for n in ("d1", "d2")]
     return arrow(given, run, T.StructType([given.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("bytes", T.IntegerType()), *longs]))
@@ -92,12 +94,13 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_run
     one with the first occurrence of ``least_run`` neighbouring bytes of it gets a row for that stretch. The
     first occurrence itself isn't returned, nor are repeats within a document, so neither are repeated
     rows of one doc_id. Null ids, null and empty texts have no chunks; texts of any length are cut whole;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; other columns are ignored. Repeats shorter than ``least_run`` bytes aren't
+    passages and have no row; ``least_run=1`` returns every repeated chunk.
     """
     parts = chunks(df, doc_id, text, least, most).filter("doc_id is not null")
-    # rows run through the window in order: nothing is held, however often a chunk occurs
-    first = F.first("doc_id").over(W.partitionBy("d1", "d2").orderBy("doc_id", "start").rowsBetween(W.unboundedPreceding, 0))
-    again = parts.withColumn("source", first).filter("source <> doc_id").select("doc_id", "start", (F.col("start") + F.col("bytes")).alias("end"), "source")
+    # a chunk of every document is one row a task here, and in the join AQE divides it, as neither side holds it
+    first = parts.groupBy("d1", "d2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("latest")).filter("source <> latest").drop("latest")
+    again = parts.join(first, ["d1", "d2"]).filter("source <> doc_id").select("doc_id", "start", (F.col("start") + F.col("bytes")).alias("end"), "source")
     along = W.partitionBy("doc_id").orderBy("start", "end", "source")
     opened = again.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     runs = opened.withColumn("run", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0)))
@@ -116,7 +119,12 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_run
 
 
 def cut_out(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``df`` without the repeated spans: each passage stays in the first document that has it. Columns as they were."""
+    """``df`` without the repeated spans: each passage stays in the first document that has it. Columns as they were.
+
+    Rows are neither added nor lost: of repeated rows each is cut alike, null and empty texts stay, as do rows with a
+    null doc_id; an empty table gives an empty one; columns named like internal ones are kept. A cut within a
+    character leaves it out.
+    """
     spans, key = free_name(df, "spans"), free_name(df, "span_of")
     found = repeats(df, doc_id, text, **how).groupBy("doc_id").agg(F.collect_list("span").alias(spans)).withColumnRenamed("doc_id", key)
     met = df.join(found, df[doc_id] == found[key], "left").select(*[df[c] for c in df.columns], F.col(spans))
