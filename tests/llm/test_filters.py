@@ -177,6 +177,15 @@ def test_near_groups_joined_only_across_lists(spark):
     assert {(r.doc_id, r.duplicate_of) for r in got.collect()} == {(i, 0) for i in range(1, len(texts))}
 
 
+def test_near_texts_of_one_id_and_hot_lists(spark, monkeypatch):
+    """Two texts under one id join their groups; more comparisons with one text than a task takes; a line in every text."""
+    monkeypatch.setattr(neardup, "EACH", 3)
+    base = [prose(i, 80) for i in range(4)]
+    rows = [(i, "the same line in each of all these texts " + edited(base[i % 4], 300 + i, 0.02)) for i in range(40)] + [(50, base[0]), (50, base[1]), (60, prose(70, 80)), (61, prose(70, 80)), (62, prose(71, 80))]
+    got = {r.doc_id: r.duplicate_of for r in neardup.links(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert got == {i: (2 if i % 4 == 2 else 3 if i % 4 == 3 else 0) for i in range(40) if i not in (0, 2, 3)} | {50: 0, 61: 60}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 9), (7, 8), (4, 4)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
