@@ -211,6 +211,10 @@ class Market:
     def fct_order_item(self) -> DataFrame:
         return gold.fct_order_item(self.items, self.orders, self.customers, self.dim_customer, self.dim_seller, self.dim_product, self.dim_geography)
 
+    def sold(self, *dimensions: str) -> DataFrame:
+        """Items as in ``fct_order_item``, with the keys of these dimensions alone (the geography needs the customer)."""
+        return gold.fct_order_item(self.items, self.orders, self.customers, *[getattr(self, f"dim_{d}") if d in dimensions else None for d in ("customer", "seller", "product", "geography")])
+
     @cached_property
     def fct_payment(self) -> DataFrame:
         return gold.fct_payment(self.payments, self.orders, self.customers, self.dim_customer)
@@ -235,11 +239,11 @@ class Market:
 
     @cached_property
     def mart_executive_daily(self) -> DataFrame:
-        return marts.executive_daily(self.dim_date, self.fct_order_item, self.fct_payment, self.fct_review)
+        return marts.executive_daily(self.dim_date, self.sold(), gold.fct_payment(self.payments, self.orders, self.customers, None), self.fct_review)
 
     @cached_property
     def mart_seller_scorecard(self) -> DataFrame:
-        return marts.seller_scorecard(self.fct_order_item)
+        return marts.seller_scorecard(self.sold("seller"))
 
     @cached_property
     def mart_delivery_sla(self) -> DataFrame:
@@ -251,4 +255,4 @@ class Market:
 
     @cached_property
     def mart_customer_cohort(self) -> DataFrame:
-        return marts.customer_cohort(self.fct_order_item)
+        return marts.customer_cohort(self.sold("customer"))

@@ -127,22 +127,27 @@ def cumulative_gmv(daily: DataFrame) -> DataFrame:
 def export_monthly(daily: DataFrame) -> DataFrame:
     return daily.groupBy(F.year("full_date").alias("year"), F.month("full_date").alias("month_number")).agg(
         money(F.sum("gmv")).alias("gmv"), F.sum("order_count").alias("orders"), ratio(F.sum("on_time_order_count"), F.sum("delivered_order_count")).alias("sla"), mean4(F.col("average_review_score")).alias("review"),
-    )
+    ).orderBy(F.desc("year"), "month_number")
 
 
 def export_regions(items: DataFrame, geography: DataFrame, sla: DataFrame, dates: DataFrame) -> DataFrame:
-    """Sales by year and state; zeros where logistics has none."""
+    """Sales by year and state, the latest year and the largest first; zeros where logistics has none."""
     per = items.groupBy(F.year("purchased_at").alias("year"), "customer_geography_key", "order_id").agg(money(F.sum("gross_amount")).alias("gmv"))
     sales = per.join(geography.select("geography_key", "state"), F.col("customer_geography_key") == F.col("geography_key")).groupBy("year", "state").agg(money(F.sum("gmv")).alias("gmv"), F.count("*").alias("orders"))
     moved = sla.join(dates.select("date_key", F.col("calendar_year").alias("year")), "date_key").groupBy("year", F.col("location_state").alias("state")).agg(
         F.sum("at_risk_order_count").alias("at_risk"), F.sum("late_order_count").alias("late"), ratio(F.sum("on_time_order_count"), F.sum("order_count")).alias("sla"),
     )
     zero = {"at_risk": F.coalesce("at_risk", F.lit(0)), "late": F.coalesce("late", F.lit(0)), "sla": F.coalesce("sla", F.lit(0).cast("decimal(9,6)"))}
-    return sales.join(moved, ["year", "state"], "left").withColumns(zero)
+    return sales.join(moved, ["year", "state"], "left").withColumns(zero).orderBy(F.desc("year"), F.desc("gmv"), "state")
+
+
+def worst_first(regions: DataFrame) -> DataFrame:
+    """The regions of each year by rising service level."""
+    return regions.orderBy(F.desc("year"), "sla", "state")
 
 
 def export_sellers(items: DataFrame, sellers: DataFrame, salt: str) -> DataFrame:
-    """Sales by year and seller under an alias; here an undelivered item counts as not on time."""
+    """Sales by year and seller under an alias, the latest year and the largest first; here an undelivered item counts as not on time."""
     per = items.groupBy(F.year("purchased_at").alias("year"), "seller_key", "order_id").agg(
         money(F.sum("gross_amount")).alias("gmv"), F.count("*").alias("n"), F.count_if("is_delivered_on_time").alias("on_time"), F.sum("delivery_delay_days").alias("delay"), F.count("delivery_delay_days").alias("delays"),
     )
@@ -150,13 +155,13 @@ def export_sellers(items: DataFrame, sellers: DataFrame, salt: str) -> DataFrame
         money(F.sum("gmv")).alias("gmv"), F.count("*").alias("orders"), ratio(F.sum("on_time"), F.sum("n")).alias("sla"),
         F.coalesce(divided(F.sum("delay"), F.sum("delays"), 4, "decimal(18,4)"), F.lit(0).cast("decimal(18,4)")).alias("avg_delay"),
     )
-    return rolled.join(sellers.select("seller_key", "state"), "seller_key").select("year", seller_alias(F.col("seller_key"), salt).alias("id"), "state", "gmv", "orders", "sla", "avg_delay")
+    return rolled.join(sellers.select("seller_key", "state"), "seller_key").select("year", seller_alias(F.col("seller_key"), salt).alias("id"), "state", "gmv", "orders", "sla", "avg_delay").orderBy(F.desc("year"), F.desc("gmv"), "id")
 
 
 def export_channels(funnel: DataFrame, dates: DataFrame) -> DataFrame:
     return funnel.join(dates.select("date_key", "calendar_year"), "date_key").groupBy(F.col("calendar_year").alias("year"), F.col("traffic_source").alias("source")).agg(
         F.sum("session_count").alias("sessions"), F.sum("product_view_sessions").alias("views"), F.sum("cart_sessions").alias("carts"), F.sum("checkout_sessions").alias("checkouts"), F.sum("purchase_sessions").alias("purchases"),
-    )
+    ).orderBy(F.desc("year"), F.desc("sessions"), "source")
 
 
 def export_previous(monthly: DataFrame) -> DataFrame:

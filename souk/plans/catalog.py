@@ -18,6 +18,7 @@ from souk.streaming import events as streams
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SALT = "salt"
+REGION = "N0"
 
 
 def query(f: Callable[[Market], DataFrame]) -> Callable[[Market], DataFrame]:
@@ -203,7 +204,7 @@ def hierarchy_closure(m: Market) -> DataFrame:
 
 @query
 def seller_performance(m: Market) -> DataFrame:
-    return analytics.seller_performance(m.fct_order_item)
+    return analytics.seller_performance(m.sold("seller"))
 
 
 @query
@@ -247,14 +248,46 @@ def export_monthly(m: Market) -> DataFrame:
     return analytics.export_monthly(m.mart_executive_daily)
 
 
+def _regions(m: Market) -> DataFrame:
+    return analytics.export_regions(m.sold("customer", "geography"), m.dim_geography, m.mart_delivery_sla, m.dim_date)
+
+
+def _sellers(m: Market) -> DataFrame:
+    return analytics.export_sellers(m.sold("seller"), m.dim_seller, SALT)
+
+
 @query
 def export_regions(m: Market) -> DataFrame:
-    return analytics.export_regions(m.fct_order_item, m.dim_geography, m.mart_delivery_sla, m.dim_date)
+    return _regions(m)
 
 
 @query
 def export_sellers(m: Market) -> DataFrame:
-    return analytics.export_sellers(m.fct_order_item, m.dim_seller, SALT)
+    return _sellers(m)
+
+
+@query
+def export_top_sellers(m: Market) -> DataFrame:
+    """The dashboard's list: each year's six best sellers."""
+    return analytics.top_by(_sellers(m), "year", "gmv", 6).select("year", "id", "gmv")
+
+
+@query
+def export_worst_regions(m: Market) -> DataFrame:
+    """The dashboard's table: each year's states, the worst service level first."""
+    return analytics.worst_first(_regions(m))
+
+
+@query
+def region_share(m: Market) -> DataFrame:
+    return analytics.region_share(_regions(m), REGION)
+
+
+@query
+def quality_score(m: Market) -> DataFrame:
+    """Over checks made of the events: a dataset a user, the rate of failure by the event's id."""
+    checks = m.table("events").select(F.col("user_id").alias("dataset"), F.col("ts").alias("evaluated_at"), ((F.col("event_id") % 4) / F.lit(4.0)).alias("failure_rate"))
+    return analytics.quality_score(checks)
 
 
 @query
@@ -408,6 +441,23 @@ def gen_delivery_events(m: Market) -> DataFrame:
     return generate.delivery_events(m.spark, 1000)
 
 
+@query
+def gen_delivery_counts(m: Market) -> DataFrame:
+    """What doesn't hang on hashes: the events of each status, their places and their times."""
+    made = generate.delivery_events(m.spark, 1000)
+    seconds = F.unix_seconds("occurred_at") - F.unix_seconds(F.to_timestamp(F.lit("2026-01-01 00:00:00")))
+    return made.groupBy("status", "sequence_number").agg(F.count("*").alias("events"), F.countDistinct("order_id").alias("orders"), F.min(seconds).alias("first_second"), F.max(seconds).alias("last_second"), F.max(F.unix_seconds("produced_at") - F.unix_seconds("occurred_at")).alias("lag"))
+
+
+@query
+def gen_click_counts(m: Market) -> DataFrame:
+    """What doesn't hang on hashes: each user's steps run without a gap, a minute and a half apart."""
+    made = generate.click_events(m.spark, 1000)
+    per = made.groupBy("user_id").agg(F.count("*").alias("n"), F.min("occurred_at").alias("a"), F.max("occurred_at").alias("b"), F.count_if(F.col("event_type") == "page_view").alias("views"))
+    spread = F.col("views") == 1, (F.unix_seconds("b") - F.unix_seconds("a")) == 90 * (F.col("n") - 1)
+    return per.agg(F.count("*").alias("users"), F.count_if(spread[0]).alias("with_view"), F.count_if(spread[1]).alias("in_step"))
+
+
 @query
 def gen_clickstream(m: Market) -> DataFrame:
     return generate.click_events(m.spark, 1000)

@@ -104,27 +104,41 @@ def _bought_by(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return orders.join(customers.select("customer_id", "customer_unique_id"), "customer_id", "left")
 
 
-def fct_order_item(items: DataFrame, orders: DataFrame, customers: DataFrame, customer: DataFrame, seller: DataFrame, product: DataFrame, geography: DataFrame) -> DataFrame:
+def fct_order_item(items: DataFrame, orders: DataFrame, customers: DataFrame, customer: DataFrame | None, seller: DataFrame | None, product: DataFrame | None, geography: DataFrame | None) -> DataFrame:
     """Each item with the versions of its customer, seller and product valid when it was bought, and that customer's geography.
 
-    Orders meet their customer's version before the items, so that join is as long as the orders.
+    Orders meet their customer's version before the items, so that join is as long as the orders. A dimension that is
+    None isn't joined and its key left out: for what doesn't need it, as a range join can't be pruned.
     """
-    o = as_of(_bought_by(orders, customers), customer, "customer_unique_id", "purchased_at", ["customer_key", "zip_code_prefix"])
-    o = o.join(geography.filter("zip_code_prefix is not null").select("zip_code_prefix", F.col("geography_key").alias("customer_geography_key")), "zip_code_prefix", "left")
-    o = o.select("order_id", "customer_key", "customer_geography_key", "purchased_at", "delivered_at", "estimated_delivery_at", "delivery_lead_days", "delivery_delay_days", "is_delivered_on_time", "is_delivered", "is_terminal_failure", "order_status")
+    keys = [k for k, d in (("customer_key", customer), ("seller_key", seller), ("product_key", product), ("customer_geography_key", geography)) if d is not None]
+    o = orders
+    if customer is not None or geography is not None:
+        if customer is None:
+            raise ValueError("the geography is that of the customer's version")
+        o = as_of(_bought_by(orders, customers), customer, "customer_unique_id", "purchased_at", ["customer_key", "zip_code_prefix"])
+    if geography is not None:
+        o = o.join(geography.filter("zip_code_prefix is not null").select("zip_code_prefix", F.col("geography_key").alias("customer_geography_key")), "zip_code_prefix", "left")
+    held = [k for k in ("customer_key", "customer_geography_key") if k in keys]
+    o = o.select("order_id", *held, "purchased_at", "delivered_at", "estimated_delivery_at", "delivery_lead_days", "delivery_delay_days", "is_delivered_on_time", "is_delivered", "is_terminal_failure", "order_status")
     i = items.select("order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_at", "item_amount", "freight_amount", "gross_amount").join(o, "order_id")
-    i = as_of(as_of(i, seller, "seller_id", "purchased_at", ["seller_key"]), product, "product_id", "purchased_at", ["product_key"])
+    if seller is not None:
+        i = as_of(i, seller, "seller_id", "purchased_at", ["seller_key"])
+    if product is not None:
+        i = as_of(i, product, "product_id", "purchased_at", ["product_key"])
     return i.select(
         surrogate_key(F.lit("order_item"), "order_id", "order_item_id").alias("order_item_key"), "order_id", "order_item_id",
-        _known("customer_key"), _known("seller_key"), _known("product_key"), _known("customer_geography_key"), date_key("purchased_at").alias("purchase_date_key"), _status_key("order_status").alias("order_status_key"),
+        *map(_known, keys), date_key("purchased_at").alias("purchase_date_key"), _status_key("order_status").alias("order_status_key"),
         "purchased_at", "delivered_at", "estimated_delivery_at", "delivery_lead_days", "delivery_delay_days", "is_delivered_on_time", "is_delivered", "is_terminal_failure", "shipping_limit_at", "item_amount", "freight_amount", "gross_amount",
     )
 
 
-def fct_payment(payments: DataFrame, orders: DataFrame, customers: DataFrame, customer: DataFrame) -> DataFrame:
-    o = as_of(_bought_by(orders, customers), customer, "customer_unique_id", "purchased_at", ["customer_key"]).select("order_id", "customer_key", "purchased_at")
-    return payments.join(o, "order_id").select(
-        surrogate_key(F.lit("payment"), "order_id", "payment_sequence").alias("payment_key"), "order_id", "payment_sequence", _known("customer_key"), date_key("purchased_at").alias("purchase_date_key"), "payment_type", "installments", "payment_amount", "purchased_at",
+def fct_payment(payments: DataFrame, orders: DataFrame, customers: DataFrame, customer: DataFrame | None) -> DataFrame:
+    """Each payment with its customer's version; without ``customer`` that isn't joined and its key left out."""
+    o, keys = orders, []
+    if customer is not None:
+        o, keys = as_of(_bought_by(orders, customers), customer, "customer_unique_id", "purchased_at", ["customer_key"]), ["customer_key"]
+    return payments.join(o.select("order_id", *keys, "purchased_at"), "order_id").select(
+        surrogate_key(F.lit("payment"), "order_id", "payment_sequence").alias("payment_key"), "order_id", "payment_sequence", *map(_known, keys), date_key("purchased_at").alias("purchase_date_key"), "payment_type", "installments", "payment_amount", "purchased_at",
     )
 
 

@@ -158,6 +158,11 @@ PARTS: dict[str, str] = {
         FROM f_item JOIN first_buys USING (customer_key) WHERE NOT is_terminal_failure GROUP BY 1, 2""",
     "nodes": "SELECT 'r' || r_regionkey AS category_id, CAST(NULL AS VARCHAR) AS parent_category_id, r_name AS category_name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT DISTINCT 's' || (s_suppkey % 50), 'n' || first(s_nationkey ORDER BY s_suppkey), 'group ' || (s_suppkey % 50) FROM supplier GROUP BY s_suppkey % 50",
     "e_monthly": f"SELECT CAST(year(full_date) AS INTEGER) AS year, CAST(month(full_date) AS INTEGER) AS month_number, {money('sum(gmv)')} AS gmv, CAST(sum(order_count) AS BIGINT) AS orders, {rate('sum(on_time_order_count)', 'sum(delivered_order_count)')} AS sla, {mean('average_review_score')} AS review FROM m_daily GROUP BY 1, 2",
+    "e_regions": f"""SELECT s.state, s.year, s.orders, s.gmv, coalesce(l.at_risk, 0) AS at_risk, coalesce(l.late, 0) AS late, coalesce(l.sla, CAST(0 AS DECIMAL(9,6))) AS sla FROM (
+        SELECT CAST(year(purchased_at) AS INTEGER) AS year, g.state, {money('sum(gross_amount)')} AS gmv, count(DISTINCT order_id) AS orders FROM f_item JOIN d_geography g ON customer_geography_key = geography_key GROUP BY 1, 2) s LEFT JOIN (
+        SELECT calendar_year AS year, location_state AS state, CAST(sum(at_risk_order_count) AS BIGINT) AS at_risk, CAST(sum(late_order_count) AS BIGINT) AS late, {rate('sum(on_time_order_count)', 'sum(order_count)')} AS sla FROM m_sla JOIN d_date USING (date_key) GROUP BY 1, 2) l ON l.year = s.year AND l.state = s.state""",
+    "e_sellers": f"""SELECT year, 'seller-' || substr(sha256('salt:' || seller_key), 1, 8) AS id, state, gmv, orders, sla, avg_delay FROM (
+        SELECT CAST(year(purchased_at) AS INTEGER) AS year, seller_key, {money('sum(gross_amount)')} AS gmv, count(DISTINCT order_id) AS orders, {rate('count(*) FILTER (is_delivered_on_time)', 'count(*)')} AS sla, coalesce({mean('delivery_delay_days')}, 0) AS avg_delay FROM f_item GROUP BY 1, 2) JOIN d_seller USING (seller_key)""",
     "outcomes": "SELECT 'run' || (event_id % 7) AS run_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS source, ts AS recorded_at, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, event_id % 100 AS input_rows FROM events",
 }
 
@@ -276,11 +281,14 @@ ORACLES: dict[str, str] = {
     "measure_seller": f"SELECT state, {money('sum(gmv)')} AS seller_gmv, CAST(sum(order_count) AS BIGINT) AS seller_orders, {div('sum(on_time_delivery_rate * order_count)', 'sum(order_count)', 6, 'DECIMAL(9,6)')} AS seller_on_time_rate FROM m_seller LEFT JOIN d_seller USING (seller_key) GROUP BY 1",
     "measure_cumulative_gmv": f"SELECT full_date, gmv, {money('sum(gmv) OVER (ORDER BY full_date)')} AS cumulative_gmv FROM m_daily",
     "export_monthly": "SELECT * FROM e_monthly",
-    "export_regions": f"""SELECT s.state, s.year, s.orders, s.gmv, coalesce(l.at_risk, 0) AS at_risk, coalesce(l.late, 0) AS late, coalesce(l.sla, CAST(0 AS DECIMAL(9,6))) AS sla FROM (
-        SELECT CAST(year(purchased_at) AS INTEGER) AS year, g.state, {money('sum(gross_amount)')} AS gmv, count(DISTINCT order_id) AS orders FROM f_item JOIN d_geography g ON customer_geography_key = geography_key GROUP BY 1, 2) s LEFT JOIN (
-        SELECT calendar_year AS year, location_state AS state, CAST(sum(at_risk_order_count) AS BIGINT) AS at_risk, CAST(sum(late_order_count) AS BIGINT) AS late, {rate('sum(on_time_order_count)', 'sum(order_count)')} AS sla FROM m_sla JOIN d_date USING (date_key) GROUP BY 1, 2) l ON l.year = s.year AND l.state = s.state""",
-    "export_sellers": f"""SELECT year, 'seller-' || substr(sha256('salt:' || seller_key), 1, 8) AS id, state, gmv, orders, sla, avg_delay FROM (
-        SELECT CAST(year(purchased_at) AS INTEGER) AS year, seller_key, {money('sum(gross_amount)')} AS gmv, count(DISTINCT order_id) AS orders, {rate('count(*) FILTER (is_delivered_on_time)', 'count(*)')} AS sla, coalesce({mean('delivery_delay_days')}, 0) AS avg_delay FROM f_item GROUP BY 1, 2) JOIN d_seller USING (seller_key)""",
+    "export_regions": "SELECT * FROM e_regions",
+    "export_sellers": "SELECT * FROM e_sellers",
+    "export_top_sellers": "SELECT year, id, gmv FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY gmv DESC, id) AS place FROM e_sellers) WHERE place <= 6",
+    "export_worst_regions": "SELECT * FROM e_regions ORDER BY year DESC, sla, state",
+    "region_share": "SELECT year, CAST(CAST(sum(gmv) FILTER (state = 'N0') AS DOUBLE) / CAST(sum(gmv) AS DOUBLE) AS DECIMAL(9,6)) AS share FROM e_regions GROUP BY year",
+    "quality_score": "SELECT avg(1 - (event_id % 4) / CAST(4 AS DOUBLE)) AS score FROM (SELECT event_id, ts = max(ts) OVER (PARTITION BY user_id) AS last FROM events) WHERE last",
+    "gen_delivery_counts": "SELECT status, sequence_number, count(*) AS events, count(*) AS orders, CAST(min(60 * (360 * sequence_number + 3 * id)) AS BIGINT) AS first_second, CAST(max(60 * (360 * sequence_number + 3 * id)) AS BIGINT) AS last_second, CAST(300 AS BIGINT) AS lag FROM range(1, 1001) r(id), (VALUES ('created', 1), ('approved', 2), ('invoiced', 3), ('shipped', 4), ('in_transit', 5), ('out_for_delivery', 6), ('delivered', 7)) v(status, sequence_number) GROUP BY 1, 2",
+    "gen_click_counts": "SELECT count(*) AS users, count(*) AS with_view, count(*) AS in_step FROM range(1000)",
     "export_channels": "SELECT calendar_year AS year, traffic_source AS source, CAST(sum(session_count) AS BIGINT) AS sessions, CAST(sum(product_view_sessions) AS BIGINT) AS views, CAST(sum(cart_sessions) AS BIGINT) AS carts, CAST(sum(checkout_sessions) AS BIGINT) AS checkouts, CAST(sum(purchase_sessions) AS BIGINT) AS purchases FROM m_funnel JOIN (SELECT " + dk("d") + " AS date_key, CAST(year(d) AS INTEGER) AS calendar_year FROM (SELECT CAST(unnest(generate_series(DATE '2016-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS DATE) AS d)) USING (date_key) GROUP BY 1, 2",
     "export_previous": f"""SELECT y.year, {', '.join(f'CASE WHEN b.year IS NULL THEN y.{c} ELSE b.{c} END AS previous_{c}' for c in ('gmv', 'orders', 'ticket', 'sla', 'review'))} FROM yearly y LEFT JOIN yearly b ON b.year = y.year - 1""",
     "seller_risk_class": "SELECT seller_key, on_time_delivery_rate, CASE WHEN on_time_delivery_rate < 0.86 THEN 'critical' WHEN on_time_delivery_rate < 0.90 THEN 'warning' ELSE 'healthy' END AS risk FROM m_seller",
@@ -293,7 +301,7 @@ ORACLES: dict[str, str] = {
     "ref_integrity": _judged(_FK1, _FK3),
     "dq_suite": _judged(_NN, _ACC, _UNI, _AMT, _FK1, _FK2, _REC),
     "operational_health": """SELECT s.latest_heartbeat, s.streaming_failures, s.input_rows, h.quarantined_rows, c.failed_quality_checks, CAST(h.quarantined_rows AS DOUBLE) / CAST(s.input_rows AS DOUBLE) AS quarantine_rate FROM (
-        SELECT max(at) AS latest_heartbeat, CAST(sum(failed) AS BIGINT) AS streaming_failures, CAST(sum(rows) AS BIGINT) AS input_rows FROM (SELECT run_id, source, max(recorded_at) AS at, count(*) FILTER (status = 'FAILED') AS failed, max(input_rows) AS rows FROM outcomes WHERE recorded_at BETWEEN TIMESTAMP '2024-01-14' AND TIMESTAMP '2024-01-15' GROUP BY 1, 2)) s,
+        SELECT max(seen_at) AS latest_heartbeat, CAST(sum(failed) AS BIGINT) AS streaming_failures, CAST(sum(rows) AS BIGINT) AS input_rows FROM (SELECT run_id, source, max(recorded_at) AS seen_at, count(*) FILTER (status = 'FAILED') AS failed, max(input_rows) AS rows FROM outcomes WHERE recorded_at BETWEEN TIMESTAMP '2024-01-14' AND TIMESTAMP '2024-01-15' GROUP BY 1, 2)) s,
         (SELECT count(*) AS quarantined_rows FROM events WHERE event_type = 'error' AND ts BETWEEN TIMESTAMP '2024-01-14' AND TIMESTAMP '2024-01-15') h,
         (SELECT count(*) AS failed_quality_checks FROM (SELECT user_id, event_type, ts = max(ts) OVER (PARTITION BY user_id) AS last FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-14' AND TIMESTAMP '2024-01-15') WHERE last AND event_type = 'error') c""",
     "freshness": "SELECT latest, date_diff('second', latest, TIMESTAMP '2024-02-01 12:00:00') / CAST(3600 AS DOUBLE) AS age_hours, CASE WHEN date_diff('second', latest, TIMESTAMP '2024-02-01 12:00:00') / 3600.0 > 48 THEN 'error' WHEN date_diff('second', latest, TIMESTAMP '2024-02-01 12:00:00') / 3600.0 > 24 THEN 'warn' ELSE 'pass' END AS state FROM (SELECT max(ts) AS latest FROM events)",
