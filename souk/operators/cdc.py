@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from souk.functions.columns import record_hash, require
 
 
-def _equal(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+def _same(left: str, right: str, keys: list[str]) -> Column:
+    """Null-safe equality of the keys: a row whose key is null meets its like, however often it arrives."""
     out = F.lit(True)
     for k in keys:
-        out = out & (a[k] == b[k])
+        out = out & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
     return out
 
 
@@ -29,23 +30,25 @@ def newest(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
 
 
 def absent(df: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``df``, one a key, whose key ``target`` doesn't have. Null keys never match."""
-    return df.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    """The rows of ``df``, one a key, whose key ``target`` doesn't have; a null is a key like others."""
+    return df.dropDuplicates(keys).alias("_s").join(target.select(*keys).alias("_t"), _same("_s", "_t", keys), "left_anti")
 
 
 def current_state(df: DataFrame, target: DataFrame | None, keys: list[str], sequence: str) -> DataFrame:
     """The current-state table after ``df``: absent keys are inserted; a row is replaced where its sequence is null or not
-    above the source's and their hashes differ. Nothing is deleted. One full outer join on the keys."""
+    above the source's and their hashes differ. Nothing is deleted. One full outer join on the keys, a null being a key
+    like others. A target that wasn't written by a merge gets its hashes here."""
     require(df, [*keys, sequence], "the source")
     source = newest(df.withColumn("_change_hash", change_hash(df)), keys, sequence)
     if target is None:
         return source
     columns = source.columns
-    s = source.select(*keys, F.struct(*columns).alias("_s"))
-    t = target.select(*keys, F.struct(*columns).alias("_t"))
+    if "_change_hash" not in target.columns:
+        target = target.withColumn("_change_hash", change_hash(target))
+    s, t = source.select(F.struct(*columns).alias("_s")), target.select(F.struct(*columns).alias("_t"))
     newer = F.col(f"_t.{sequence}").isNull() | (F.col(f"_s.{sequence}") >= F.col(f"_t.{sequence}"))
     replace = F.col("_t").isNull() | (F.col("_s").isNotNull() & newer & (F.col("_s._change_hash") != F.col("_t._change_hash")))
-    return s.join(t, keys, "full_outer").select(F.when(replace, F.col("_s")).otherwise(F.col("_t")).alias("r")).select("r.*")
+    return s.join(t, _same("_s", "_t", keys), "full_outer").select(F.when(replace, F.col("_s")).otherwise(F.col("_t")).alias("r")).select("r.*")
 
 
 @dataclass(frozen=True)
@@ -62,7 +65,8 @@ def scd2(df: DataFrame, target: DataFrame | None, keys: list[str], tracked: list
 
     The latest row a key of the batch counts. A new key opens a version (from ``open_start`` if given, so that it
     covers what came before); a changed one closes the current version and opens the next; a change effective no
-    later than the current version is late and returned, not applied; an unchanged row does nothing.
+    later than the current version is late and returned, not applied; an unchanged row does nothing. A null is a key
+    like others.
     """
     require(df, [*keys, *tracked, effective], "the source")
     hashed = df.withColumn("_change_hash", change_hash(df, tracked))
@@ -75,14 +79,14 @@ def scd2(df: DataFrame, target: DataFrame | None, keys: list[str], tracked: list
         first = opened(picked, open_start if open_start is not None else F.col("valid_from"))
         return History(first, picked.limit(0).withColumn("_quarantine_reason", F.lit("LATE_ARRIVING_SCD2_VERSION")), picked)
     now = target.filter("is_current").select(*keys, F.col("valid_from").alias("_from"), F.col("_change_hash").alias("_hash"))
-    compared = picked.join(now, keys, "left")
+    compared = picked.alias("_s").join(now.alias("_t"), _same("_s", "_t", keys), "left").select("_s.*", "_from", "_hash")
     fresh = compared.filter("_hash is null").drop("_from", "_hash")
     moved = compared.filter("_hash is not null and _change_hash <> _hash")
     changed = moved.filter("valid_from > _from").drop("_from", "_hash")
     late = moved.filter("valid_from <= _from").drop("_from", "_hash").withColumn("_quarantine_reason", F.lit("LATE_ARRIVING_SCD2_VERSION"))
     closing = changed.select(*keys, F.col("valid_from").alias("_closed_at"))
     closes = F.col("is_current") & F.col("_closed_at").isNotNull()
-    kept = target.join(closing, keys, "left").select(
+    kept = target.alias("_t").join(closing.alias("_s"), _same("_t", "_s", keys), "left").select("_t.*", "_closed_at").select(
         *[
             F.when(closes, F.col("_closed_at")).otherwise(F.col("valid_to")).alias(c) if c == "valid_to"
             else (F.col("is_current") & F.col("_closed_at").isNull()).alias(c) if c == "is_current"

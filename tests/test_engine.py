@@ -206,6 +206,69 @@ def test_store_versions_and_conflict(spark, store):
     assert store.read("c").count() == 200 and store.read("c").filter("v = 'b'").count() == 1
 
 
+def test_store_loses_no_commit(spark, store):
+    """Another writer commits while a write is under way: each ends up on top of the other's version."""
+    other = TableStore(spark, store.root)
+
+    def ids(*n):
+        return spark.createDataFrame([(i, 0, "v") for i in n], "id bigint, _seq int, v string")
+
+    store.append("t", ids(0, 1))
+    commit = store._commit
+
+    def overtaken(name, version, manifest):
+        store._commit = commit
+        other.append(name, ids(10, 11)) if name == "t" else other.upsert(name, ids(7), ["id"], "_seq")
+        return commit(name, version, manifest)
+
+    store._commit = overtaken
+    assert store.append("t", ids(20, 21)) == 3
+    assert sorted(r.id for r in store.read("t").collect()) == [0, 1, 10, 11, 20, 21]
+    store._commit = overtaken
+    assert store.insert_absent("t", ids(10, 11, 30, None), ["id"]) == 2
+    assert store.insert_absent("t", ids(30, None), ["id"]) == 0
+    assert [r.n for r in store.read("t").filter("id in (10, 30) or id is null").groupBy("id").agg(F.count("*").alias("n")).orderBy("id").collect()] == [1, 2, 1]
+    store.upsert("k", ids(1, None), ["id"], "_seq")
+    store._commit = overtaken
+    store.upsert("k", ids(2, 3, None), ["id"], "_seq")
+    assert sorted(r.id or 0 for r in store.read("k").collect()) == [0, 1, 2, 3, 7]
+
+
+def test_store_buckets_follow_the_table(spark, store, monkeypatch):
+    """A merge over an appended table sees its rows; buckets double with the size and each key stays once."""
+    from souk.sources import store as module
+
+    rows = spark.range(500).select("id", F.lit(0).alias("_seq"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    store.append("t", rows)
+    store.upsert("t", spark.createDataFrame([(7, 1, "b"), (900, 1, "new")], "id bigint, _seq int, v string"), ["id"], "_seq")
+    assert store.read("t").count() == 501 == store.read("t").select("id").distinct().count() and store.read("t").filter("id = 7").first().v == "b"
+    monkeypatch.setattr(module, "BUCKET_BYTES", 500)
+    store.upsert("t", spark.createDataFrame([(8, 1, "c")], "id bigint, _seq int, v string"), ["id"], "_seq")
+    m = store._manifest("t", store.version("t"))
+    assert m["buckets"] > 32 and "-1" not in m["files"] and store.read("t").count() == 501 and store.read("t").filter("id = 8").first().v == "c"
+    store.overwrite("t", rows.limit(3))
+    assert store.read("t").count() == 3 and store.views("x_") == ["x_t"] and spark.table("x_t").count() == 3
+
+
+def test_inserts_within_a_bound(spark, store):
+    def at(*days):
+        return spark.createDataFrame([(d, T0 + timedelta(days=d)) for d in days], "id int, seen timestamp")
+
+    store.insert_absent("e", at(0, 10), ["id"], within=("seen", "2 DAYS"))
+    assert store.insert_absent("e", at(10, 11), ["id"], within=("seen", "2 DAYS")) == 1
+    assert sorted(r.id for r in store.read("e").collect()) == [0, 10, 11]
+
+
+def test_null_keys_meet(spark):
+    schema = "k int, v string, _seq int"
+    target = cdc.current_state(spark.createDataFrame([(None, "old", 1), (1, "old", 1)], schema), None, ["k"], "_seq")
+    got = cdc.current_state(spark.createDataFrame([(None, "new", 2)], schema), target, ["k"], "_seq").collect()
+    assert sorted((r.k or 0, r.v) for r in got) == [(0, "new"), (1, "old")]
+    first = cdc.scd2(spark.createDataFrame([(None, "a", T0)], "k int, v string, at timestamp"), None, ["k"], ["v"], "at", "r").table
+    again = cdc.scd2(spark.createDataFrame([(None, "b", T0 + timedelta(days=1))], "k int, v string, at timestamp"), first, ["k"], ["v"], "at", "r").table
+    assert sorted((r.v, r.is_current) for r in again.collect()) == [("a", False), ("b", True)]
+
+
 def test_quality_and_gate(spark):
     child = spark.createDataFrame([("a", "p1", 1), ("b", "missing", 7), ("b", None, None)], "id string, product_id string, score int")
     parent = spark.createDataFrame([("p1",), ("p1",)], "product_id string")
