@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from souk.sources.contracts import schema_of
+from souk.sources.store import TableStore
+
 WARNING, CRITICAL = "WARNING", "CRITICAL"
 
 
@@ -62,6 +65,40 @@ def metrics(outcomes: DataFrame, quarantine: DataFrame, quality: DataFrame, as_o
     return stream.crossJoin(held).crossJoin(checks).withColumn("quarantine_rate", F.coalesce(rate, F.lit(0.0)))
 
 
+ALERTS = schema_of("code string, severity string, message string, observed double, threshold double, run_id string, observed_at timestamp, delivery_status string")
+METRICS = schema_of("latest_heartbeat timestamp, streaming_failures bigint, input_rows bigint, quarantined_rows bigint, failed_quality_checks bigint, quarantine_rate double, run_id string, observed_at timestamp")
+EMPTY = {
+    "ctl_streaming_runs": schema_of("run_id string, source string, status string, recorded_at timestamp, input_rows bigint"),
+    "quarantine": schema_of("_ingested_at timestamp"),
+    "ctl_data_quality_results": schema_of("dataset string, evaluated_at timestamp, passed boolean, severity string"),
+}
+
+
+def observe(store: TableStore, run_id: str, quarantines: list[str], at: datetime | None = None, hours: int = 24, max_heartbeat_minutes: int = 20, max_quarantine_rate: float = 0.02, fail_on_critical: bool = False) -> dict:
+    """The operational job: metrics of the control tables up to ``at`` (now), kept in ``ctl_operational_health``, and what they
+    violate in ``ctl_operational_alerts``. A table that isn't there counts as empty. Returns a summary; raises on a critical
+    alert if asked to, after both are written.
+    """
+    at = _utc(at or datetime.now(UTC))
+
+    def held(name: str, kind: str) -> DataFrame:
+        columns = EMPTY[kind].names
+        return store.read(name).select(*columns) if store.exists(name) else store.spark.createDataFrame([], EMPTY[kind])
+
+    quarantine = store.spark.createDataFrame([], EMPTY["quarantine"])
+    for name in quarantines:
+        quarantine = quarantine.unionByName(held(name, "quarantine"))
+    m = metrics(held("ctl_streaming_runs", "ctl_streaming_runs"), quarantine, held("ctl_data_quality_results", "ctl_data_quality_results"), F.lit(at), hours).first()
+    found = alerts(Snapshot(at, m.latest_heartbeat and m.latest_heartbeat.astimezone(UTC), m.failed_quality_checks, m.streaming_failures, m.quarantine_rate), max_heartbeat_minutes, max_quarantine_rate)
+    store.append("ctl_operational_health", store.spark.createDataFrame([tuple(m[n] for n in METRICS.names[:-2]) + (run_id, at)], METRICS))
+    if found:
+        store.append("ctl_operational_alerts", store.spark.createDataFrame([(*asdict(a).values(), run_id, at, "PENDING") for a in found], ALERTS))
+    status = CRITICAL if any(a.severity == CRITICAL for a in found) else WARNING if found else "HEALTHY"
+    if fail_on_critical and status == CRITICAL:
+        raise RuntimeError(f"service levels violated: {', '.join(a.code for a in found)}")
+    return {"run_id": run_id, "status": status, "quarantine_rate": m.quarantine_rate, "alerts": [a.code for a in found]}
+
+
 def freshness(df: DataFrame, moment: str, as_of: Column, warn_hours: int = 24, error_hours: int = 48) -> DataFrame:
     """One row: the latest moment, its age in hours and pass, warn or error (an empty table: error)."""
     latest = df.agg(F.max(moment).alias("latest"))

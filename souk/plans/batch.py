@@ -6,6 +6,7 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from souk.operators import commerce, ingest, quality, silver
@@ -102,6 +103,58 @@ def star(store: TableStore) -> dict[str, DataFrame]:
     return made
 
 
+#: table: (expectations, or (its key, the dimension, the dimension's key)); run where the table is there.
+_E = quality.Expectation
+_KEYS = {
+    "dim_date": "date_key", "dim_customer": "customer_key", "dim_seller": "seller_key", "dim_product": "product_key", "dim_category": "category_key", "dim_geography": "geography_key", "dim_order_status": "order_status_key",
+    "fct_order_item": "order_item_key", "fct_payment": "payment_key", "fct_delivery": "delivery_key", "fct_review": "review_key", "fct_funnel_session": "session_key", "fct_order_reconciliation": "reconciliation_key",
+}
+_ALSO = {
+    "dim_customer": [_E("customer_unique_id_not_null", "customer_unique_id", quality.NOT_NULL)], "bridge_category_hierarchy": [_E("pair_unique", "ancestor_category_key, descendant_category_key", quality.UNIQUE)],
+    "fct_delivery": [_E("order_id_not_null", "order_id", quality.NOT_NULL), _E("order_id_unique", "order_id", quality.UNIQUE), _E("transitions_valid", "invalid_transition_count", quality.BETWEEN, quality.WARN, low=0, high=0)],
+    "fct_order_reconciliation": [_E("order_id_not_null", "order_id", quality.NOT_NULL), _E("order_id_unique", "order_id", quality.UNIQUE)], "fct_order_item": [_E("item_amount_not_negative", "item_amount", quality.BETWEEN, low=0), _E("freight_amount_not_negative", "freight_amount", quality.BETWEEN, low=0)],
+    "mart_executive_daily": [_E("date_key_not_null", "date_key", quality.NOT_NULL), _E("date_key_unique", "date_key", quality.UNIQUE)], "mart_seller_scorecard": [_E("seller_key_unique", "seller_key", quality.UNIQUE)],
+    "mart_delivery_sla": [_E("grain_unique", "date_key, carrier_code, location_state", quality.UNIQUE)], "mart_funnel_conversion": [_E("grain_unique", "date_key, device_type, traffic_source", quality.UNIQUE)], "mart_customer_cohort": [_E("grain_unique", "cohort_month, months_since_first_purchase", quality.UNIQUE)],
+}
+_REFERENCES = (
+    ("fct_order_item", "customer_key", "dim_customer", "customer_key"), ("fct_order_item", "seller_key", "dim_seller", "seller_key"), ("fct_order_item", "product_key", "dim_product", "product_key"),
+    ("fct_order_item", "purchase_date_key", "dim_date", "date_key"), ("fct_payment", "customer_key", "dim_customer", "customer_key"), ("dim_product", "category_key", "dim_category", "category_key"),
+)
+
+
+def gold_checks(store: TableStore, run_id: str) -> list[quality.Result]:
+    """Checks the star schema and its marts: keys there and unique, references whole, versions that don't overlap, one current
+    version a seller, no negative amounts, and, as a warning, transitions. Keeps the results and raises on errors."""
+    counts = []
+    for name in sorted(_KEYS.keys() | _ALSO.keys()):
+        if store.exists(name):
+            key = _KEYS.get(name)
+            rules = [_E(f"{key}_not_null", key, quality.NOT_NULL), _E(f"{key}_unique", key, quality.UNIQUE)] if key else []
+            counts.append(quality.failures(store.read(name), rules + _ALSO.get(name, []), name))
+    for child, key, parent, parent_key in _REFERENCES:
+        counts.append(quality.integrity(store.read(child), store.read(parent), key, parent_key, child, f"{key}_fk"))
+    for name, who in (("dim_customer", "customer_unique_id"), ("dim_seller", "seller_id")):
+        versions = store.read(name).filter(f"{who} <> 'UNKNOWN'")
+        before = F.lag("valid_to").over(W.partitionBy(who).orderBy("valid_from"))
+        apart = versions.withColumn("apart", ~F.coalesce(before > F.col("valid_from"), F.lit(False)))
+        counts.append(quality.failures(apart, [_E("versions_apart", "apart", quality.ACCEPTED, accepted=(True,))], name))
+        counts.append(quality.failures(versions.filter("is_current"), [_E("one_current_version", who, quality.UNIQUE)], name))
+    whole = counts[0]
+    for more in counts[1:]:
+        whole = whole.unionByName(more)
+    results = quality.evaluate(whole, run_id)
+    quality.persist(store, results)
+    quality.gate(results)
+    return results
+
+
+def export(store: TableStore, salt: str, output: str) -> dict:
+    """The snapshot of the marts as they are stored, written."""
+    out = snapshot(store, salt)
+    files.write_snapshot(out, output)
+    return out
+
+
 def snapshot(store: TableStore, salt: str, sellers: int | None = None) -> dict:
     """The dashboard's figures by year; a few hundred rows, but for the sellers, who can be limited to the best of each year."""
     daily, fact, dates = (store.read(n) for n in ("mart_executive_daily", "fct_order_item", "dim_date"))
@@ -133,7 +186,5 @@ def run(spark: SparkSession, store: TableStore, landing: str, run_id: str, salt:
     derived(store, settings, as_of if as_of is not None else F.current_timestamp())
     gate(store, run_id)
     star(store)
-    out = snapshot(store, salt)
-    if output:
-        files.write_snapshot(out, output)
-    return out
+    gold_checks(store, run_id)
+    return export(store, salt, output) if output else snapshot(store, salt)

@@ -28,12 +28,22 @@ def _share(seed: int, what: str, *parts: str) -> Column:
     return F.pmod(F.xxhash64(*parts, F.lit(what), F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
 
 
-def delivery_events(spark: SparkSession, orders: int, seed: int = 42, base: str = "2026-01-01 00:00:00", partitions: int | None = None, duplicates: float = 0.0, late: float = 0.0) -> DataFrame:
-    """Seven events an order along the happy path; shares of them are sent again under a new id, or produced two days late."""
-    if orders <= 0:
+def delivery_events(spark: SparkSession, orders: int | DataFrame, seed: int = 42, base: str = "2026-01-01 00:00:00", partitions: int | None = None, duplicates: float = 0.0, late: float = 0.0) -> DataFrame:
+    """Seven events an order along the happy path; shares of them are sent again under a new id, or produced two days late.
+
+    ``orders``: how many, named by number, or a DataFrame of existing ids (order_id), which start within a year by their hash.
+    """
+    if isinstance(orders, DataFrame):
+        given = orders.select(F.col("order_id").cast("string").alias("order_id")).filter("order_id is not null").distinct()
+        if given.isEmpty():
+            raise ValueError("there are no order ids")
+        named = given.select(F.pmod(F.xxhash64("order_id", F.lit(seed)), F.lit(175_200)).alias("id"), "order_id")
+        named = named.repartition(partitions, "order_id") if partitions else named
+    elif orders <= 0:
         raise ValueError("the number of orders must be positive")
-    steps = F.posexplode(F.array(*map(F.lit, STEPS)))
-    rows = spark.range(1, 1 + orders, numPartitions=partitions).select("id", F.format_string("synthetic_order_%012d", "id").alias("order_id"), steps.alias("step", "status"))
+    else:
+        named = spark.range(1, 1 + orders, numPartitions=partitions).select("id", F.format_string("synthetic_order_%012d", "id").alias("order_id"))
+    rows = named.select("id", "order_id", F.posexplode(F.array(*map(F.lit, STEPS))).alias("step", "status"))
     rows = rows.withColumn("sequence_number", 1 + F.col("step"))
     minutes = 360 * F.col("sequence_number") + 3 * F.col("id")
     at = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(base))) + 60 * minutes)

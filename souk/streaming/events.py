@@ -77,12 +77,14 @@ def trigger(writer, mode: str, interval: str = "30 seconds"):
     return writer.trigger(**modes[mode])
 
 
-def start(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], store: TableStore, target: str, quarantine: str, checkpoint: str, run_id: str, mode: str = "available_now", name: str | None = None, watermark: str | None = None) -> StreamingQuery:
+def start(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], store: TableStore, target: str, quarantine: str, checkpoint: str, run_id: str, mode: str = "available_now", name: str | None = None, watermark: str | None = None, interval: str = "30 seconds", within: str | None = None) -> StreamingQuery:
     """One query that reads the source once and feeds both tables.
 
     Valid events are inserted if their event_id is absent, quarantined ones if their place in the topic is; so a
     batch that runs again, or a duplicate however late, adds nothing, and nothing is dropped as too late. With
-    ``watermark`` duplicates are dropped by state before that, and events beyond it with them.
+    ``watermark`` duplicates are dropped by state before that, and events beyond it with them. Without ``within`` each
+    batch reads all event ids of the table; with it (an interval, "7 DAYS") those that occurred at most so long before
+    the batch's first event, and copies that lie further apart are kept.
     """
     parsed = parse(stream)
     if watermark:
@@ -93,13 +95,28 @@ def start(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], store: Tab
         batch.persist()
         try:
             stamp = {"_run_id": F.lit(run_id), "_micro_batch_id": F.lit(batch_id).cast("long"), "_ingested_at": F.current_timestamp()}
-            store.insert_absent(target, valid(batch).withColumns(stamp), ["event_id"])
-            store.insert_absent(quarantine, quarantined(batch).withColumns(stamp), ["_kafka_topic", "_kafka_partition", "_kafka_offset", "_raw_payload"])
+            store.insert_absent(target, valid(batch).withColumns(stamp), ["event_id"], within=within and ("occurred_at", within))
+            store.insert_absent(quarantine, quarantined(batch).withColumns(stamp), ["_kafka_topic", "_kafka_partition", "_kafka_offset", "_raw_payload"], within=within and ("_kafka_timestamp", within))
         finally:
             batch.unpersist()
 
     writer = parsed.writeStream.queryName(name or target).option("checkpointLocation", checkpoint).foreachBatch(both)
-    return trigger(writer, mode).start()
+    return trigger(writer, mode, interval).start()
+
+
+def supervise(store: TableStore, streams: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]], checkpoints: str, run_id: str, mode: str = "available_now", **how) -> str:
+    """Starts a query for each source (its stream and parser), each into ``bronze_`` and ``quarantine_`` tables of its name, and awaits
+    them all; see ``start`` and ``await_and_record``. If one can't be started, those running are stopped.
+    """
+    queries: dict[str, StreamingQuery] = {}
+    try:
+        for source, (stream, parse) in streams.items():
+            queries[source] = start(stream, parse, store, f"bronze_{source}", f"quarantine_{source}", f"{checkpoints}/{source}", run_id, mode, **how)
+    except Exception:
+        for q in queries.values():
+            q.stop()
+        raise
+    return await_and_record(store, queries, run_id)
 
 
 @dataclass(frozen=True)

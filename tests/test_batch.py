@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from souk.__main__ import main
+from souk.operators import health, quality
 from souk.plans import batch
 from souk.settings import load
 from souk.sources import files, generate
 from souk.sources.contracts import CONTRACTS
 from souk.sources.store import TableStore
-from souk.streaming import events as streams
 
 ROWS = {
     "customers": ["c1,u1,1000,São Paulo,sp", "c2,u2,2000,Rio,RJ"],
@@ -37,9 +37,10 @@ def landing(tmp_path):
 
 def test_batch(spark, landing, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}/store")
-    for topic, key, made, parse in (("delivery_events", "order_id", generate.delivery_events(spark, 2), streams.parse_delivery), ("clickstream_events", "user_id", generate.click_events(spark, 20), streams.parse_clicks)):
+    for topic, key, made in (("delivery_events", "order_id", generate.delivery_events(spark, 2)), ("clickstream_events", "user_id", generate.click_events(spark, 20))):
         files.publish(made, topic, key, folder=str(tmp_path / topic))
-        streams.start(files.file_stream(spark, str(tmp_path / topic)), parse, store, f"bronze_{topic}", f"quarantine_{topic}", str(tmp_path / f"c_{topic}"), "r").awaitTermination()
+    assert main(["stream", "--store", store.root, "--checkpoints", str(tmp_path / "c"), "--run-id", "r", "--folder", str(tmp_path), "--within", "900 DAYS"]) == 0
+    assert store.read("ctl_streaming_runs").count() == 2
     out = batch.run(spark, store, str(landing), "r1", "salt", as_of=F.lit("2024-03-01").cast("timestamp"), output=str(tmp_path / "snapshot.json"))
     assert json.loads((tmp_path / "snapshot.json").read_text())["periods"] == out["periods"]
     year = next(p for p in out["periods"] if p["year"] == 2024)
@@ -50,6 +51,21 @@ def test_batch(spark, landing, tmp_path):
     assert store.read("dim_category").filter("category_name_english = 'health_beauty'").count() == 1
     assert store.read("mart_executive_daily").agg(F.sum("order_count")).first()[0] == 2
     assert store.read("mart_funnel_conversion").agg(F.sum("session_count")).first()[0] == 20
+    checks = {(r.dataset, r.expectation): r.passed for r in store.read("ctl_data_quality_results").collect()}
+    assert all(checks.values()) and {("fct_order_item", "seller_key_fk"), ("dim_customer", "versions_apart"), ("mart_executive_daily", "date_key_unique"), ("dim_seller", "one_current_version")} <= checks.keys()
+    assert main(["export", "--store", store.root, "--salt", "salt", "--output", str(tmp_path / "again.json")]) == 0
+    assert json.loads((tmp_path / "again.json").read_text())["periods"] == out["periods"]
+    months = [m["month_number"] for m in year["monthly"]]
+    assert [p["year"] for p in out["periods"]] == sorted((p["year"] for p in out["periods"]), reverse=True) and months == sorted(months)
+    assert main(["health", "--store", store.root, "--run-id", "h1"]) == 0
+    assert store.read("ctl_operational_health").first().input_rows == store.read("bronze_delivery_events").count() + store.read("bronze_clickstream_events").count()
+    assert not store.exists("ctl_operational_alerts")
+    store.overwrite("fct_payment", store.read("fct_payment").withColumn("payment_key", F.lit(1)))
+    with pytest.raises(quality.QualityGateError, match="fct_payment.payment_key_unique"):
+        batch.gold_checks(store, "r1b")
+    with pytest.raises(RuntimeError, match="QUALITY_GATE_FAILURE"):
+        main(["health", "--store", store.root, "--run-id", "h2", "--fail-on-critical"])
+    assert [(r.code, r.run_id, r.delivery_status) for r in store.read("ctl_operational_alerts").collect()] == [("QUALITY_GATE_FAILURE", "h2", "PENDING")]
     counts = {n: store.read(n).count() for n in ("bronze_orders", "silver_orders", "silver_customers_history", "silver_delivery_snapshot")}
     batch.run(spark, store, str(landing), "r2", "salt", as_of=F.lit("2024-03-01").cast("timestamp"))
     assert counts == {n: store.read(n).count() for n in counts}
@@ -63,6 +79,22 @@ def test_settings():
         load({"streaming": {"odd": 1}}, {})
 
 
+def test_health_of_an_empty_store(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/none")
+    got = health.observe(store, "r", ["quarantine_x"])
+    assert got["alerts"] == ["STREAM_HEARTBEAT_STALE"] and got["status"] == health.CRITICAL
+    assert store.read("ctl_operational_alerts").first().observed == float("inf")
+
+
+def test_events_of_given_orders(spark, tmp_path):
+    (tmp_path / "o.csv").write_text("order_id,x\na,1\nb,2\n ,3\na,4\n", encoding="utf-8")
+    assert main(["generate-deliveries", "--orders-csv", str(tmp_path / "o.csv"), "--duplicate-rate", "0", "--output", str(tmp_path / "e"), "--partitions", "2"]) == 0
+    got = spark.read.json(str(tmp_path / "e"))
+    assert got.count() == 14 == got.select("event_id").distinct().count() and {r.order_id for r in got.collect()} == {"a", "b"}
+    with pytest.raises(ValueError, match="no order ids"):
+        generate.delivery_events(spark, spark.createDataFrame([(None,)], "order_id string"))
+
+
 def test_command_line(spark, tmp_path):
     assert main(["generate-deliveries", "--orders", "3", "--duplicate-rate", "0", "--output", str(tmp_path / "e"), "--partitions", "2"]) == 0
     assert main(["publish", "--input", str(tmp_path / "e"), "--topic", "t", "--key", "order_id", "--folder", str(tmp_path / "f")]) == 0
