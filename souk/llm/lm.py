@@ -1,8 +1,10 @@
 """Language-model scores from compression.
 
-Two dictionaries of one capacity, which grows with the counted corpus, hold the words that save most in the
-in-domain documents (those labelled of quality) and in all documents. A text's zstandard size under a dictionary, in bits a byte, is a cross-entropy
-under a model of what filled it; the score is the difference of the two, divided by the general one.
+Two dictionaries of one capacity, which grows with the counted corpus, hold what saves most in the in-domain documents
+(those labelled of quality) and in all documents: up to a half passages, stretches of some 30 bytes cut by content that
+occur again (phrases with their spaces and marks), and words. A text's zstandard size under a dictionary, in bits a
+byte, is a cross-entropy under a model of what filled it; the score is the difference of the two, divided by the
+general one.
 """
 
 from __future__ import annotations
@@ -12,12 +14,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from souk.llm.shared import arrow, table
+from souk.llm.chunks import cuts
+from souk.llm.shared import arrow, drop, table
+from souk.llm.textkit import portions, span_hashes, strings
 
 #: Bytes of each dictionary at least: the model's capacity, as a number of parameters is.
 CAPACITY = 1 << 16
@@ -74,27 +79,82 @@ def capacity_for(counts: DataFrame) -> int:
     return max(CAPACITY, GROWTH * math.isqrt(total))
 
 
-def dictionary(counts: DataFrame, n: str, capacity: int = CAPACITY) -> bytes:
-    """The words that save most, the best last (zstandard reaches them at the shortest distance), up to ``capacity`` bytes.
+def passage_counts(docs: DataFrame) -> DataFrame:
+    """(passage: its hash, bytes, n_in, n_all) of the content-defined chunks of docs (text, is_in) that occur more than once."""
 
-    A histogram of the savings (sixteen bins an octave) tells from which bin on the words fill the capacity;
-    those alone reach the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inner = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for row, s, e, part in _chunks(batch.column(0)):
+                h, at, back = np.unique(span_hashes(part, s, e, 7), return_index=True, return_inverse=True)
+                n = np.bincount(back, minlength=len(h))
+                n_in = np.bincount(back, inner[row], len(h)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((e - s)[at], pa.int32()), pa.array(n_in), pa.array(n.astype(np.int64))], names=["passage", "bytes", "n_in", "n_all"])
+
+    parts = arrow(docs, run, "passage long, bytes int, n_in long, n_all long")
+    return parts.groupBy("passage", "bytes").agg(F.sum("n_in").alias("n_in"), F.sum("n_all").alias("n_all")).filter("n_all > 1")
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    offsets, data = strings(column)
+    for i, j in portions(offsets, 2 << 20):
+        part = data[offsets[i] : offsets[j]]
+        row, s, e = cuts(offsets[i : j + 1] - offsets[i], part)
+        if len(s):
+            yield row + i, s, e, part
+
+
+def most_saving(counts: DataFrame, key: str, size: Column, n: str, capacity: int) -> list[tuple[int, object]]:
+    """(bytes saved, key) of the rows that save most, from the most on, as long as their sizes fit ``capacity``; ties by key.
+
+    What occurs but once saves nothing. A histogram of the savings (sixteen bins an octave) tells from which bin on the
+    rows fill the capacity; those alone reach the driver.
     """
-    saved = F.col(n) * (F.octet_length("word") - COST)
-    held = counts.filter((F.octet_length("word") > COST) & (F.octet_length("word") <= 256) & (F.col(n) > 0)).select("word", saved.alias("saved"), F.floor(F.log2(saved) * 16).alias("bin"))
-    size, edge = 0, 0
-    for k, b in sorted(held.groupBy("bin").agg(F.sum(F.octet_length("word") + 1)).collect(), reverse=True):
-        size, edge = size + b, k
-        if size > capacity:
+    saved = (F.col(n) - 1) * (size - COST)
+    held = counts.select(key, size.cast("long").alias("size"), saved.alias("saved")).filter("saved > 0").withColumn("bin", F.floor(F.log2("saved") * 16))
+    room, edge = 0, 0
+    for k, b in sorted(held.groupBy("bin").agg(F.sum(F.col("size") + 1)).collect(), reverse=True):
+        room, edge = room + b, k
+        if room > capacity:
             break
-    rows = held.filter(F.col("bin") >= edge).select("word", "saved").toArrow().to_pydict()
-    size, taken = 0, []
-    for _, raw in sorted((-x, w.encode()) for w, x in zip(rows["word"], rows["saved"])):
-        if size + len(raw) + 1 > capacity:
+    rows = held.filter(F.col("bin") >= edge).select(key, "size", "saved").toArrow().to_pydict()
+    room, taken = 0, []
+    for minus, x, size_ in sorted((-v, x, n_) for v, x, n_ in zip(rows["saved"], rows[key], rows["size"])):
+        if room + size_ + 1 > capacity:
             break
-        taken.append(raw + b" ")
-        size += len(raw) + 1
-    return b" " + b"".join(reversed(taken)) if taken else b""
+        taken.append((-minus, x))
+        room += size_ + 1
+    return taken
+
+
+def passages(docs: DataFrame, wanted: list[int]) -> dict[int, bytes]:
+    """The bytes of the passages of these hashes, each once; ``wanted`` is bounded by a dictionary's capacity."""
+    sought = np.array(sorted(wanted), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, bytes] = {}
+        for batch in batches:
+            for _, s, e, part in _chunks(batch.column(0)):
+                h = span_hashes(part, s, e, 7).view(np.int64)
+                for i in np.flatnonzero(np.isin(h, sought)).tolist():
+                    if int(h[i]) not in found:
+                        found[int(h[i])] = part[s[i] : e[i]].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["passage", "raw"])
+
+    if not len(sought):
+        return {}
+    one = arrow(docs.select("text"), run, "passage long, raw binary").groupBy("passage").agg(F.min("raw").alias("raw")).toArrow().to_pydict()
+    return dict(zip(one["passage"], one["raw"]))
+
+
+def dictionary(counts: DataFrame, n: str, capacity: int = CAPACITY, before: list[tuple[int, bytes]] | None = None) -> bytes:
+    """The passages ``before`` and the words that save most beside them, up to ``capacity`` bytes, the best last (zstandard
+    reaches them at the shortest distance)."""
+    before = before or []
+    room = capacity - sum(len(raw) + 1 for _, raw in before)
+    words = [(saved, w.encode() + b" ") for saved, w in most_saving(counts, "word", F.octet_length("word"), n, room)]
+    each = sorted([*before, *words])
+    return b" " + b"".join(raw for _, raw in each) if each else b""
 
 
 def scored(docs: DataFrame, in_domain: bytes, general: bytes, level: int = LEVEL) -> DataFrame:
@@ -132,7 +192,7 @@ def scored(docs: DataFrame, in_domain: bytes, general: bytes, level: int = LEVEL
 
 
 def models(documents: DataFrame, labels: DataFrame, capacity: int | None = None) -> tuple[bytes, bytes]:
-    """The (in-domain, general) dictionaries: words counted over every document, in-domain those labelled quality 1 in any row.
+    """The (in-domain, general) dictionaries: words and passages counted over every document, in-domain those labelled quality 1 in any row.
 
     Without a ``capacity`` it grows with the counted corpus.
     """
@@ -140,9 +200,13 @@ def models(documents: DataFrame, labels: DataFrame, capacity: int | None = None)
     # the ids of labelled documents travel to the texts while they fit a worker; beyond that both sides are shuffled by id
     fits = good.count() * 64 <= BROADCAST
     met = documents.select("doc_id", "text").join(F.broadcast(good) if fits else good.hint("merge"), F.col("doc_id") == F.col("good"), "left").select("text", F.col("good").isNotNull().alias("is_in"))
-    counts = table(word_counts(met), "words")
+    counts, repeated = table(word_counts(met), "words"), table(passage_counts(met), "passages")
     capacity = capacity or capacity_for(counts)
-    return dictionary(counts, "n_in", capacity), dictionary(counts, "n_all", capacity)
+    chosen = {n: most_saving(repeated, "passage", F.col("bytes"), n, capacity // 2) for n in ("n_in", "n_all")}
+    raw = passages(documents, [h for x in chosen.values() for _, h in x])
+    made = tuple(dictionary(counts, n, capacity, [(saved, raw[h]) for saved, h in chosen[n]]) for n in ("n_in", "n_all"))
+    drop(counts, repeated)
+    return made
 
 
 def score(documents: DataFrame, labels: DataFrame, capacity: int | None = None, level: int = LEVEL) -> DataFrame:
@@ -150,6 +214,7 @@ def score(documents: DataFrame, labels: DataFrame, capacity: int | None = None,
 
     Null and empty texts have null scores. A repeated row is scored, and counted, as often as it occurs;
     a doc_id labelled more than once is in-domain if any label says so; null labels say nothing. Without
-    labels the in-domain dictionary is empty. Texts are scored whole. Other columns are ignored.
+    labels the in-domain dictionary is empty, as is either where nothing occurs twice. Texts are counted and scored
+    whole, words of any length. An empty table gives no rows; ties go to the smaller word; other columns are ignored.
     """
     return scored(documents.select("doc_id", "text"), *models(documents, labels, capacity), level)

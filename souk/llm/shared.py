@@ -14,11 +14,13 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process (tests) a local one."""
     path = spark.conf.get(SETTING, None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} names no folder that the cluster's executors share")
         path = "file://" + tempfile.mkdtemp(prefix="souk-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -26,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a reliable cut that column-prunes."""
-    return df.sparkSession.read.schema(df.schema).parquet(table_path(df, name))
+    path = table_path(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def table_path(df: DataFrame, name: str) -> str:
@@ -35,6 +40,14 @@ def table_path(df: DataFrame, name: str) -> str:
     return path
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``table`` wrote, once all that reads them has been written itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -203,6 +203,57 @@ def test_scores_tell_domains_apart(spark):
     assert counts == {w: (inner.count(w), words.count(w)) for w in set(words)}
 
 
+def test_models_and_scores_equal_brute_force(spark):
+    """The dictionaries from counts by hand, and every size by compressing under them."""
+    import zstandard
+
+    lines = [prose(60 + i, 25) for i in range(5)]
+    texts = [prose(i % 25, 60) + " " + lines[i % 5] + " " + "w" * (400 if i % 7 == 0 else 3) for i in range(40)] + ["", None, "é" * 50]
+    good = set(range(0, 40, 2))
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(1, 0, 0)], "doc_id bigint, quality int, toxic int")
+    want = []
+    for inside in (good, range(len(texts))):
+        n, sizes = {}, {}
+        for i, t in enumerate(texts):
+            for w in (t or "").split():
+                n[w] = n.get(w, 0) + (i in inside)
+            raw = (t or "").encode()
+            for a, b in brute_cuts(raw):
+                sizes[raw[a:b]] = sizes.get(raw[a:b], [0, 0])
+                sizes[raw[a:b]][0] += i in inside
+                sizes[raw[a:b]][1] += 1
+        capacity, taken = 3000, []
+        held = [((k - 1) * (len(x) - lm.COST), x) for x, (k, m) in sizes.items() if m > 1 and k > 1 and len(x) > lm.COST]
+        order = {x: int(textkit.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]), 7).view(np.int64)[0]) for _, x in held}
+        for saved, x in sorted(held, key=lambda v: (-v[0], order[v[1]])):
+            if sum(len(y) + 1 for _, y in taken) + len(x) + 1 > capacity // 2:
+                break
+            taken.append((saved, x))
+        room = capacity - sum(len(x) + 1 for _, x in taken)
+        for minus, w in sorted((-(k - 1) * (len(w.encode()) - lm.COST), w) for w, k in n.items() if k > 1 and len(w.encode()) > lm.COST):
+            if len(w.encode()) + 1 > room:
+                break
+            room -= len(w.encode()) + 1
+            taken.append((-minus, w.encode() + b" "))
+        want.append(b" " + b"".join(x for _, x in sorted(taken)))
+    got = lm.models(docs(spark, texts), labels, 3000)
+    assert [len(x) for x in got] == [len(x) for x in want] and got == tuple(want)
+    assert any(lines[0].encode()[a:b] in got[0] for a, b in brute_cuts(lines[0].encode())[1:-1]) and b"w" * 256 in got[1]
+
+    def size(raw, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(content), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return 8 * len(zstandard.ZstdCompressor(dict_data=held, compression_params=p).compress(raw)) / len(raw)
+
+    for r in lm.score(docs(spark, texts), labels, 3000).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        if not raw:
+            assert (r.score, r.bits_in, r.bits_general) == (None, None, None)
+            continue
+        a, b = size(raw, want[0]), size(raw, want[1])
+        assert r.bits_in == pytest.approx(a, rel=0.05) and r.bits_general == pytest.approx(b, rel=0.05) and r.score == pytest.approx((r.bits_general - r.bits_in) / r.bits_general)
+
+
 def test_dictionaries_grow_with_the_corpus(spark):
     """Four times the words, twice the dictionary; a word at its far end saves as one at its near end does."""
     r = random.Random(9)
