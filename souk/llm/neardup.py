@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from souk.llm.shared import arrow, free_name, table
+from souk.llm.shared import arrow, drop, free_name, table
 from souk.llm.textkit import lists, shingle_sets
 
 SHINGLE = 3
@@ -39,6 +39,8 @@ JACCARD = 0.5
 #: Estimate from which a pair is verified: 1.6 standard errors of K values below JACCARD.
 ESTIMATE = 0.4
 ROUNDS = 40
+#: Above the size of any sketch, a power of two.
+K_ROOM = 1 << 12
 #: Texts that one task compares with a text.
 EACH = 2000
 
@@ -65,11 +67,13 @@ def inverted(sk: DataFrame, tau: float = ESTIMATE) -> DataFrame:
 
     ``sk`` has a row for each key.
     """
-    rows = sk.select("key", "doc_id", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
+    # the values travel with eight bytes for the key and the size of the sketch: enough to tell apart the texts of one doc_id
+    short = F.xxhash64("key").bitwiseAND(F.lit(-K_ROOM)).bitwiseOR(F.size("sketch").cast("bigint"))
+    rows = sk.select("doc_id", short.alias("of"), F.explode("sketch").alias("value"))
     shared = rows.groupBy("value").agg(F.count("*").alias("held_by")).filter("held_by > 1")
     # the values held by one text alone come first in the order; those left fill the rest of the prefix
-    per = rows.join(shared, "value").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("held").alias("held"), F.sort_array(F.collect_list(F.struct("held_by", "value"))).alias("shared"))
-    need = F.ceil(F.col("held") * F.lit(tau)).cast("int")
+    per = rows.join(shared, "value").groupBy("doc_id", "of").agg(F.sort_array(F.collect_list(F.struct("held_by", "value"))).alias("shared"))
+    need = F.ceil(F.col("of").bitwiseAND(F.lit(K_ROOM - 1)) * F.lit(tau)).cast("int")
     first = F.size("shared") - need + 1
     return per.filter(first > 0).select("doc_id", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(1)))).alias("s")).select("doc_id", F.col("s.value").alias("value"))
 
@@ -137,7 +141,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = least.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = low.select("u", F.col("m").alias("v")).union(low.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = table(small, "edges")
+        last, now = now, table(small, "edges")
+        drop(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -148,13 +153,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _across(lists_: DataFrame, groups: DataFrame, compared: DataFrame) -> DataFrame:
-    """The pairs of different components within a list that weren't compared yet."""
+    """The pairs of different components within a list that weren't compared yet, written."""
     named = lists_.join(groups, "doc_id", "left").select("value", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     several = named.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value")
     held = table(named.join(several, "value"), "across")
     x, y = (held.select("value", F.col("doc_id").alias(f"d{n}"), F.col("root").alias(f"r{n}")) for n in "xy")
     met = x.join(y, "value").filter("rx < ry")
-    return met.select(F.least("dx", "dy").alias("a"), F.greatest("dx", "dy").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+    rest = table(met.select(F.least("dx", "dy").alias("a"), F.greatest("dx", "dy").alias("b")).distinct().join(compared, ["a", "b"], "left_anti"), "rest")
+    drop(held)
+    return rest
 
 
 def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, k: int = K, jaccard: float = JACCARD, tau: float = ESTIMATE) -> DataFrame:
@@ -166,14 +173,18 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     Texts below ``width`` words match only on the same words. Texts of any length count whole. Ties don't arise:
     the sets decide. An empty table gives no rows.
     """
+    if not 0 < k < K_ROOM:
+        raise ValueError(f"a sketch has from 1 to {K_ROOM - 1} values")
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     every = table(sketches(docs, width, k), "sketches")
     one = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("one")
     sk = table(every.groupBy("key").agg(one, F.max("doc_id").alias("latest")).select("key", "one.*", "latest"), "sets")
     twins = table(every.select("key", F.col("doc_id").alias("b")).join(sk.filter("latest <> doc_id").select("key", F.col("doc_id").alias("a")), "key").filter("a <> b").select("a", "b", F.lit(1.0).alias("jaccard")), "twins")
+    drop(every)
     inv = table(inverted(sk, tau), "inverted")
     able = inv.select("doc_id").distinct()
     held = table(sk.join(able, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"), "held")
+    drop(sk)
     texts = table(docs.join(able, "doc_id", "left_semi"), "texts")
 
     first = inv.join(inv.groupBy("value").agg(F.min("doc_id").alias("a")), "value").filter("a <> doc_id")
@@ -181,13 +192,19 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
 
     def judged(pairs: DataFrame) -> DataFrame:
         likely = table(estimated(pairs, held, k, tau, jaccard), "likely")
-        return table(verified(likely, texts, width, jaccard), "near")
+        near = table(verified(likely, texts, width, jaccard), "near")
+        drop(likely)
+        return near
 
-    near = judged(star).union(twins)
-    groups = table(components(near), "groups")
+    by_first = judged(star)
+    groups = components(by_first.union(twins))
     rest = _across(inv, groups, star)
-    near = near.union(judged(rest))
-    return components(near).filter("doc_id <> root").select("doc_id", F.col("root").alias("duplicate_of"))
+    drop(inv, star)
+    by_rest = judged(rest)
+    drop(rest, held, texts)
+    ends = components(by_first.union(by_rest).union(twins))
+    drop(by_first, by_rest, twins)
+    return ends.filter("doc_id <> root").select("doc_id", F.col("root").alias("duplicate_of"))
 
 
 def keep(df: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
