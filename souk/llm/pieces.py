@@ -119,7 +119,7 @@ def distinct_words(texts: DataFrame) -> DataFrame:
 
 
 def edges(words: DataFrame, table_: DataFrame, longest: int, one: bool) -> DataFrame:
-    """(word, n, s, l, score) of each substring in the piece table; l = 0: the word itself, once, and all there is of a longer one than MASK.
+    """(word, n, s, l, score, odd) of each substring in the piece table; l = 0: the word itself, once, and all there is of a longer one than MASK.
 
     ``one``: with pieces of one character, too.
     """
@@ -130,30 +130,52 @@ def edges(words: DataFrame, table_: DataFrame, longest: int, one: bool) -> DataF
     at = words.select("word", "n", F.explode(F.sequence(F.lit(1), F.when(short, F.col("n")).otherwise(1))).alias("s"))
     cut = at.select("word", "n", "s", F.explode(F.when(F.col("s") == 1, F.concat(F.array(F.lit(0)), sizes)).otherwise(sizes)).alias("l"))
     # the piece table has as many rows as the model, whatever the data
-    return cut.withColumn("piece", F.substring("word", F.col("s"), F.col("l"))).join(F.broadcast(table_), "piece").select("word", "n", "s", "l", "score")
+    return cut.withColumn("piece", F.substring("word", F.col("s"), F.col("l"))).join(F.broadcast(table_), "piece").select("word", "n", "s", "l", "score", "odd")
 
 
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
+def odd_pieces(rank: dict[str, float]) -> set[str]:
+    """The pieces that are half of one of better rank: merging one may make a merge possible that should have come before."""
+    return {y for x, r in rank.items() for k in range(1, len(x)) for y, z in ((x[:k], x[k:]), (x[k:], x[:k])) if rank.get(y, r) > r and (len(z) == 1 or z in rank)}
+
+
 def bpe_cuts(lattice: DataFrame) -> DataFrame:
     """(word, n, cuts): bit i of cuts is set where a piece begins or ends at i; null for words longer than MASK.
 
-    Of the edges over exactly two pieces the best, then the leftmost, is merged first. The fold gives the bits as
-    they are: an expression over them would be inlined into its lambdas and fold again for each element.
+    Of the edges over exactly two pieces the best, then the leftmost, is merged first. A merge makes edges possible
+    that contain it, and those of an ordinary piece rank behind it: so one fold over the edges in their order meets
+    each when its turn is. Where an odd piece's merge makes an edge of better rank possible the order doesn't hold,
+    and the word is folded again, a merge a step, over all edges each time. The fold gives the bits as they are: an
+    expression over them would be inlined into its lambdas and fold again for each element.
     """
     s, e = F.col("s") - 1, F.col("s") + F.col("l") - 1
-    edge = F.when(F.col("l") > 0, F.struct((-F.col("score")).alias("rank"), s.alias("s"), (_bit(s) + _bit(e)).alias("ends"), (_bit(e) - _bit(s + 1)).alias("inner")))
-    by = lattice.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
+    edge = F.when(F.col("l") > 0, F.struct((-F.col("score")).alias("rank"), s.alias("s"), (_bit(s) + _bit(e)).alias("ends"), (_bit(e) - _bit(s + 1)).alias("inner"), F.col("odd")))
+    by = lattice.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+    def able(cuts: Column, x: Column) -> Column:
+        return (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1)
+
+    def without(cuts: Column, inner: Column) -> Column:
+        return cuts.bitwiseAND(F.bitwise_not(inner))
+
+    def in_turn(state: Column, x: Column) -> Column:
+        cuts = without(state["cuts"], x["inner"])
+        late = x["odd"] & F.exists("edges", lambda y: (y["rank"] < x["rank"]) & able(cuts, y))
+        return F.when(able(state["cuts"], x), F.struct(cuts.alias("cuts"), (state["late"] | late).alias("late"))).otherwise(state)
 
     def step(cuts: Column, _: Column) -> Column:
-        able = F.filter("edges", lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1))
-        return cuts.bitwiseAND(F.bitwise_not(F.coalesce(F.array_min(able)["inner"], F.lit(0).cast("long"))))
+        best = F.array_min(F.filter("edges", lambda x: able(cuts, x)))
+        return without(cuts, F.coalesce(best["inner"], F.lit(0).cast("long")))
 
+    every = _bit(F.col("n") + 1) - 1
     rounds = F.least(F.size("edges"), F.col("n") - 1)
     times = F.when(rounds > 0, F.sequence(F.lit(1), rounds)).otherwise(F.array().cast("array<int>"))
-    return by.select("word", "n", F.when(F.col("n") <= MASK, F.aggregate(times, _bit(F.col("n") + 1) - 1, step)).alias("cuts"))
+    start = F.struct(every.alias("cuts"), F.lit(False).alias("late"))
+    cuts = F.aggregate("edges", start, in_turn, lambda state: F.when(state["late"], F.aggregate(times, every, step)).otherwise(state["cuts"]))
+    return by.select("word", "n", F.when(F.col("n") <= MASK, cuts).alias("cuts"))
 
 
 def viterbi_cuts(lattice: DataFrame, unknown: float) -> DataFrame:
@@ -257,8 +279,9 @@ def segmented(texts: DataFrame, model: Model) -> DataFrame:
     """(word, h, h2: its hashes as the texts spell it, ids: little-endian int32) of every distinct word of the texts."""
     spark = texts.sparkSession
     words = distinct_words(texts)
-    rows = [(p, float(s)) for p, s in zip(model.pieces, model.scores) if s is not None and (model.kind != "bpe" or len(p) > 1)]
-    known = spark.createDataFrame([("", 0.0), *rows], "piece string, score double")
+    kept = {p: float(s) for p, s in zip(model.pieces, model.scores) if s is not None and (model.kind != "bpe" or len(p) > 1)}
+    odd = odd_pieces({p: -s for p, s in kept.items()}) if model.kind == "bpe" else set()
+    known = spark.createDataFrame([("", 0.0, False), *((p, s, p in odd) for p, s in kept.items())], "piece string, score double, odd boolean")
     lattice = edges(words, known, model.longest, model.kind != "bpe")
     cuts = bpe_cuts(lattice) if model.kind == "bpe" else viterbi_cuts(lattice, unknown_score(model))
 

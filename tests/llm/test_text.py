@@ -466,6 +466,28 @@ def test_pieces_equal_library(spark, bpe):
     assert pieces.encoded(d.limit(0), bpe).count() == 0
 
 
+def test_fold_in_turn_equals_merges_by_rank(spark):
+    """A table whose ranks don't follow its pieces' parts: late merges make better ones possible, and words fall back to the fold by rounds."""
+    r = random.Random(12)
+    for trial in range(3):
+        names = {"".join(r.choice("abc") for _ in range(k)) for k in (2, 2, 2, 2, 3, 3, 3, 4, 4, 5) for _ in range(3)}
+        names = r.sample(sorted(names), len(names))
+        m = pieces.Model(("<unk>", "a", "b", "c", "▁", *names), (None, -90.0, -91.0, -92.0, -93.0, *(-float(i) for i in range(len(names)))), (), 0, "bpe")
+        rank = {p: float(i) for i, p in enumerate(names)}
+        assert pieces.odd_pieces(rank)
+        words = ["".join(r.choice("abc") for _ in range(r.randint(1, 14))) for _ in range(400)]
+        got = {x.doc_id: x.ids for x in pieces.encoded(docs(spark, words), m).collect()}
+
+        def by_rank(w):
+            parts = list(w)
+            while pairs := [(rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]:
+                _, i = min(pairs)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            return [m.pieces.index(p) for p in parts]
+
+        assert all(got[i] == by_rank("▁" + w) for i, w in enumerate(words))
+
+
 def test_heap_equals_fold(bpe):
     one = pieces.Segmenter(bpe)
     import sentencepiece
