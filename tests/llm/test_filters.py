@@ -230,6 +230,36 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).exceptAll(at).isEmpty()
 
 
+def test_pipeline_on_empty_and_hard_tables(spark, tmp_path):
+    """No rows give no windows; nulls, repeated rows, long texts and clashing columns go through all stages."""
+    import corpus_pipeline
+
+    h = hard(spark)
+    for name, d in (("empty", h.limit(0)), ("hard", h)):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    got = {}
+    for r in corpus_pipeline.run(spark, f"{tmp_path}/hard").collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+    # 6 and 8 repeat themselves, 0 to 2 are empty, 5 is a copy of 4, whose repeated row is one as well
+    assert got == {i: len(HARD[i].split()) for i in (3, 4, 7, 9)} | {None: 30}
+
+
+def test_tables_are_dropped_and_a_cluster_needs_a_folder(spark):
+    from pathlib import Path
+
+    from souk.llm import shared
+
+    t = shared.table(spark.range(3), "t")
+    path = Path(t.written_to.removeprefix("file:").replace("//", "/"))
+    assert path.is_dir()
+    shared.drop(t)
+    assert not path.exists()
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(cluster)
+
+
 def test_shared_folder_is_the_session_setting(spark, tmp_path):
     from souk.llm import shared
 
