@@ -44,11 +44,21 @@ def category_links(bridge: DataFrame, categories: DataFrame) -> DataFrame:
     return bridge.join(a, "ancestor_category_key").join(d, "descendant_category_key").select("ancestor_category", "descendant_category", "depth")
 
 
+#: Levels of a hierarchy: a deeper one holds a cycle, and raises.
+LEVELS = 10_000
+
+
+def _recursive(nodes: DataFrame, view: str) -> None:
+    """Registers the nodes, and lifts the session's limit on a recursion's rows, which a large tree would meet."""
+    nodes.createOrReplaceTempView(view)
+    nodes.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+
+
 def hierarchy(nodes: DataFrame, view: str = "souk_hierarchy_nodes") -> DataFrame:
     """(category_id, parent_category_id, category_name, depth, category_path) from the roots down; a recursive query."""
-    nodes.createOrReplaceTempView(view)
+    _recursive(nodes, view)
     return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE tree AS (
+        WITH RECURSIVE tree MAX RECURSION LEVEL {LEVELS} AS (
             SELECT category_id, parent_category_id, category_name, 0 AS depth, category_name AS category_path FROM {view} WHERE parent_category_id IS NULL
             UNION ALL
             SELECT c.category_id, c.parent_category_id, c.category_name, p.depth + 1, concat(p.category_path, ' > ', c.category_name)
@@ -57,10 +67,10 @@ def hierarchy(nodes: DataFrame, view: str = "souk_hierarchy_nodes") -> DataFrame
 
 
 def closure(nodes: DataFrame, view: str = "souk_closure_nodes") -> DataFrame:
-    """(ancestor_id, descendant_id, depth) of a hierarchy of any depth, self links included."""
-    nodes.createOrReplaceTempView(view)
+    """(ancestor_id, descendant_id, depth) of a hierarchy of up to ``LEVELS``, self links included."""
+    _recursive(nodes, view)
     return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE links AS (
+        WITH RECURSIVE links MAX RECURSION LEVEL {LEVELS} AS (
             SELECT category_id AS ancestor_id, category_id AS descendant_id, 0 AS depth FROM {view}
             UNION ALL
             SELECT l.ancestor_id, c.category_id, l.depth + 1 FROM links l JOIN {view} c ON c.parent_category_id = l.descendant_id

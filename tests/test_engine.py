@@ -288,6 +288,11 @@ def test_quality_and_gate(spark):
             E("x", "y", **bad)
 
 
+def test_hierarchies_deeper_than_the_default(spark):
+    nodes = spark.createDataFrame([(str(i), str(i - 1) if i else None, f"n{i}") for i in range(104)], "category_id string, parent_category_id string, category_name string")
+    assert analytics.hierarchy(nodes).agg(F.max("depth")).first()[0] == 103
+
+
 def test_health():
     now = datetime(2026, 1, 1, tzinfo=UTC)
     got = health.alerts(health.Snapshot(now, now - timedelta(seconds=2400), 1, 2, 0.08))
