@@ -78,26 +78,32 @@ def scd2(df: DataFrame, target: DataFrame | None, keys: list[str], tracked: list
     if target is None:
         first = opened(picked, open_start if open_start is not None else F.col("valid_from"))
         return History(first, picked.limit(0).withColumn("_quarantine_reason", F.lit("LATE_ARRIVING_SCD2_VERSION")), picked)
-    now = target.filter("is_current").select(*keys, F.col("valid_from").alias("_from"), F.col("_change_hash").alias("_hash"))
-    compared = picked.alias("_s").join(now.alias("_t"), _same("_s", "_t", keys), "left").select("_s.*", "_from", "_hash")
-    fresh = compared.filter("_hash is null").drop("_from", "_hash")
-    moved = compared.filter("_hash is not null and _change_hash <> _hash")
-    changed = moved.filter("valid_from > _from").drop("_from", "_hash")
-    late = moved.filter("valid_from <= _from").drop("_from", "_hash").withColumn("_quarantine_reason", F.lit("LATE_ARRIVING_SCD2_VERSION"))
-    closing = changed.select(*keys, F.col("valid_from").alias("_closed_at"))
-    closes = F.col("is_current") & F.col("_closed_at").isNotNull()
-    kept = target.alias("_t").join(closing.alias("_s"), _same("_t", "_s", keys), "left").select("_t.*", "_closed_at").select(
-        *[
-            F.when(closes, F.col("_closed_at")).otherwise(F.col("valid_to")).alias(c) if c == "valid_to"
-            else (F.col("is_current") & F.col("_closed_at").isNull()).alias(c) if c == "is_current"
-            else F.when(closes, F.lit(run_id)).otherwise(F.col(c)).alias(c) if c == "updated_run_id"
-            else F.col(c)
-            for c in target.columns
-        ]
-    )
-    start = open_start if open_start is not None else F.col("valid_from")
-    table = kept.unionByName(opened(changed, F.col("valid_from"))).unionByName(opened(fresh, start))
-    return History(table, late, changed.unionByName(fresh))
+    opening = {c: F.col(f"_new.{c}") for c in picked.columns}
+    opening |= {"valid_to": F.lit(None), "is_current": F.lit(True), "created_run_id": F.lit(run_id), "updated_run_id": F.lit(run_id)}
+    if set(opening) != set(target.columns):
+        raise ValueError(f"the target's columns aren't those of the history: {', '.join(sorted(set(opening) ^ set(target.columns)))}")
+    # Versions and arrivals are laid end to end and meet in one window by key: a join's smaller side may be broadcast, as what compresses well looks small.
+    old, new = (F.struct(*df.columns) for df in (target, picked))
+    none = {c: F.lit(None).cast(df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType) for c, df in (("_old", target), ("_new", picked))}
+    held = target.select(*keys, old.alias("_old"), none["_new"].alias("_new"))
+    came = picked.select(*keys, none["_old"].alias("_old"), new.alias("_new"))
+    of_key = W.partitionBy(*keys)
+
+    def stamp(row: str) -> Column:
+        return F.struct(f"{row}.valid_from", f"{row}._change_hash")
+
+    met = held.unionByName(came).withColumns({"_now": F.max(F.when(F.col("_old.is_current"), stamp("_old"))).over(of_key), "_in": F.max(F.when(F.col("_new").isNotNull(), stamp("_new"))).over(of_key)})
+    moved = F.col("_in").isNotNull() & F.col("_now").isNotNull() & (F.col("_in._change_hash") != F.col("_now._change_hash"))
+    changed = F.coalesce(moved & (F.col("_in.valid_from") > F.col("_now.valid_from")), F.lit(False))
+    fresh = F.col("_now").isNull()
+    arrived, closes = F.col("_new").isNotNull(), changed & F.col("_old.is_current")
+    kept = {c: F.col(f"_old.{c}") for c in target.columns}
+    kept |= {"valid_to": F.when(closes, F.col("_in.valid_from")).otherwise(kept["valid_to"]), "is_current": kept["is_current"] & ~changed, "updated_run_id": F.when(closes, F.lit(run_id)).otherwise(kept["updated_run_id"])}
+    if open_start is not None:
+        opening["valid_from"] = F.when(fresh, open_start).otherwise(opening["valid_from"])
+    table = met.filter(~arrived | changed | fresh).select(*[F.when(arrived, opening[c]).otherwise(kept[c]).alias(c) for c in target.columns])
+    late = met.filter(arrived & moved & (F.col("_in.valid_from") <= F.col("_now.valid_from"))).select("_new.*").withColumn("_quarantine_reason", F.lit("LATE_ARRIVING_SCD2_VERSION"))
+    return History(table, late, met.filter(arrived & (changed | fresh)).select("_new.*"))
 
 
 def as_of(facts: DataFrame, versions: DataFrame, key: str, moment: str, columns: list[str]) -> DataFrame:

@@ -348,3 +348,23 @@ def test_marts_and_measures(spark):
     assert sorted((r.months_since_first_purchase, r.retained_customer_count) for r in marts.customer_cohort(f).collect()) == [(0, 1), (2, 1)]
     x = spark.range(1).select(analytics.risk_class(F.lit(0.85)).alias("a"), analytics.risk_class(F.lit(0.86)).alias("b"), analytics.risk_class(F.lit(0.9)).alias("c"), analytics.percent_delta(F.lit(5), F.lit(0)).alias("d")).first()
     assert tuple(x) == ("critical", "warning", "healthy", 0.0)
+
+
+def test_scd2_meets_without_a_join(spark, tmp_path):
+    """Versions and arrivals meet in one shuffle by key: nothing is joined, so nothing is sent to the driver and broadcast."""
+    day = timedelta(days=1)
+    schema = "k int, v string, at timestamp"
+    first = cdc.scd2(spark.createDataFrame([(k, "a", T0) for k in (None, 1, 2, 3)], schema), None, ["k"], ["v"], "at", "r1").table
+    first.write.parquet(f"{tmp_path}/h")
+    batch = [(None, "b", T0 + day), (1, "b", T0 + day), (1, "c", T0 + 2 * day), (2, "a", T0 + day), (3, "b", T0), (4, "n", T0 + day), (5, "n", None)]
+    h = cdc.scd2(spark.createDataFrame(batch, schema), spark.read.parquet(f"{tmp_path}/h"), ["k"], ["v"], "at", "r2", F.lit(datetime(1900, 1, 1)))
+    assert "Join" not in (plan := h.table._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
+    got = {(r.k, r.v, r.valid_from, r.valid_to, r.is_current, r.created_run_id, r.updated_run_id) for r in h.table.collect()}
+    old = datetime(1900, 1, 1)
+    assert h.table.count() == 8 and got == {
+        (None, "a", T0, T0 + day, False, "r1", "r2"), (None, "b", T0 + day, None, True, "r2", "r2"), (1, "a", T0, T0 + 2 * day, False, "r1", "r2"), (1, "c", T0 + 2 * day, None, True, "r2", "r2"),
+        (2, "a", T0, None, True, "r1", "r1"), (3, "a", T0, None, True, "r1", "r1"), (4, "n", old, None, True, "r2", "r2"), (5, "n", old, None, True, "r2", "r2"),
+    }
+    assert [(r.k, r.v) for r in h.late.collect()] == [(3, "b")] and {(r.k, r.v) for r in h.changed.collect()} == {(None, "b"), (1, "c"), (4, "n"), (5, "n")}
+    with pytest.raises(ValueError, match="extra"):
+        cdc.scd2(spark.createDataFrame(batch, schema), first.withColumn("extra", F.lit(1)), ["k"], ["v"], "at", "r2")
