@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from souk.functions.columns import record_hash, require
+from souk.functions.parts import spread
 
 
 def _same(left: str, right: str, keys: list[str]) -> Column:
@@ -112,5 +113,6 @@ def as_of(facts: DataFrame, versions: DataFrame, key: str, moment: str, columns:
     An open version ends at the end of time, so the range is a plain residual of the equi-join on the key.
     """
     v = versions.select(F.col(key).alias("_k"), F.col("valid_from").alias("_from"), F.coalesce("valid_to", F.lit("9999-12-31").cast(dict(versions.dtypes)["valid_from"])).alias("_to"), *columns)
+    v = spread(v, "_k", by=facts)
     on = (facts[key] == v["_k"]) & (facts[moment] >= v["_from"]) & (facts[moment] < v["_to"])
     return facts.join(v, on, "left").drop("_k", "_from", "_to")

@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.functions.parts import spread
 from souk.operators import cdc, commerce, silver
 from souk.plans import gold, marts
 
@@ -51,7 +52,7 @@ class Market:
 
     @cached_property
     def raw_orders(self) -> DataFrame:
-        shipped = self.table("lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+        shipped = spread(self.table("lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
         status = F.when(F.col("o_orderkey") % 50 == 0, "canceled").when(F.col("o_orderstatus") == "F", "delivered").when(F.col("o_orderstatus") == "O", "shipped").otherwise("processing")
         joined = self.table("orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("status", status)
         return joined.select(

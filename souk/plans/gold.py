@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.functions.columns import date_key, surrogate_key
+from souk.functions.parts import spread
 from souk.operators.cdc import as_of
 from souk.sources.contracts import ORDER_STATUS_ROWS
 
@@ -120,7 +121,8 @@ def fct_order_item(items: DataFrame, orders: DataFrame, customers: DataFrame, cu
         o = o.join(geography.filter("zip_code_prefix is not null").select("zip_code_prefix", F.col("geography_key").alias("customer_geography_key")), "zip_code_prefix", "left")
     held = [k for k in ("customer_key", "customer_geography_key") if k in keys]
     o = o.select("order_id", *held, "purchased_at", "delivered_at", "estimated_delivery_at", "delivery_lead_days", "delivery_delay_days", "is_delivered_on_time", "is_delivered", "is_terminal_failure", "order_status")
-    i = items.select("order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_at", "item_amount", "freight_amount", "gross_amount").join(o, "order_id")
+    i = items.select("order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_at", "item_amount", "freight_amount", "gross_amount")
+    i = i.join(spread(o, "order_id", by=i), "order_id")
     if seller is not None:
         i = as_of(i, seller, "seller_id", "purchased_at", ["seller_key"])
     if product is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from souk.functions.columns import divided, mean4, money, ratio
+from souk.functions.parts import spread
 
 
 def executive_daily(dates: DataFrame, items: DataFrame, payments: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
@@ -35,7 +36,7 @@ def executive_daily(dates: DataFrame, items: DataFrame, payments: DataFrame, rev
 
 def seller_scorecard(items: DataFrame) -> DataFrame:
     """A row for each seller version. Its orders are rolled up first, with the sums that the averages need."""
-    per = items.groupBy("seller_key", "order_id").agg(
+    per = spread(items, "order_id").groupBy("seller_key", "order_id").agg(
         *[money(F.sum(c)).alias(c) for c in ("item_amount", "freight_amount", "gross_amount")],
         F.sum("delivery_delay_days").alias("delay"), F.count("delivery_delay_days").alias("delays"), F.max("is_delivered").alias("delivered"), F.max("is_delivered_on_time").alias("on_time"), F.max("purchased_at").alias("at"),
     )

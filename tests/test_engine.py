@@ -1,6 +1,8 @@
 """The engine's operators on small fixtures, with the results that the domain's rules give."""
 
 import json
+import os
+import re
 import zipfile
 from datetime import UTC, datetime, timedelta
 from decimal import Decimal
@@ -8,9 +10,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from souk.functions import parts
 from souk.functions.columns import date_key, norm_text, ratio, record_hash, seconds_between, surrogate_key
 from souk.operators import cdc, commerce, health, ingest, quality, silver
-from souk.plans import analytics, gold, marts
+from souk.plans import analytics, catalog, gold, marts
 from souk.sources import files, generate
 from souk.sources.contracts import CONTRACTS, contract, transition_allowed
 from souk.sources.store import Conflict, TableStore
@@ -368,3 +371,33 @@ def test_scd2_meets_without_a_join(spark, tmp_path):
     assert [(r.k, r.v) for r in h.late.collect()] == [(3, "b")] and {(r.k, r.v) for r in h.changed.collect()} == {(None, "b"), (1, "c"), (4, "n"), (5, "n")}
     with pytest.raises(ValueError, match="extra"):
         cdc.scd2(spark.createDataFrame(batch, schema), first.withColumn("extra", F.lit(1)), ["k"], ["v"], "at", "r2")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["seller_risk_class"])
+def test_parts_follow_the_size(spark, monkeypatch, name):
+    """Shuffles of items have as many parts as the files ask for, however few the session has; the results stay."""
+
+    def made():
+        return catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+    few = made()
+    monkeypatch.setattr(parts, "PART_BYTES", 10_000)
+    n = -(-parts.file_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")) // parts.PART_BYTES)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = made()
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        shuffles = re.findall(r"Exchange hashpartitioning\((.+), (\d+)\), (?:ENSURE|REPARTITION)", plan)
+        assert n > 4 and all(int(k) >= n for keys, k in shuffles if re.search("order_?id|l_orderkey|_k#", keys)) and len(shuffles) > 5, shuffles
+        got = sorted(map(repr, many.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == sorted(map(repr, few.collect()))
+
+
+def test_parts_of_other_sources(spark):
+    """Rows that no file holds count nothing and stay as they are."""
+    df = spark.createDataFrame([(1,)], "a int")
+    assert parts.file_bytes(df) == 0 and parts.spread(df, "a") is df
