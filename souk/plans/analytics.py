@@ -10,12 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from souk.functions.columns import divided, mean4, money, ratio
+from souk.functions.parts import spread
 
 
 def seller_performance(items: DataFrame, top: int = 20) -> DataFrame:
     """Each month's best sellers by revenue, with sums and means over the seller's last three rows (not months)."""
     month = F.trunc(F.to_date("purchased_at"), "month").alias("order_month")
-    per = items.groupBy("seller_key", month, "order_id").agg(money(F.sum("gross_amount")).alias("gmv"), F.sum("delivery_delay_days").alias("delay"), F.count("delivery_delay_days").alias("delays"))
+    per = spread(items, "order_id").groupBy("seller_key", month, "order_id").agg(money(F.sum("gross_amount")).alias("gmv"), F.sum("delivery_delay_days").alias("delay"), F.count("delivery_delay_days").alias("delays"))
     monthly = per.groupBy("seller_key", "order_month").agg(
         F.count("*").alias("order_count"), money(F.sum("gmv")).alias("gmv"), divided(F.sum("delay"), F.sum("delays"), 4, "decimal(18,4)").alias("average_delay_days"),
     )
@@ -158,7 +159,7 @@ def worst_first(regions: DataFrame) -> DataFrame:
 
 def export_sellers(items: DataFrame, sellers: DataFrame, salt: str) -> DataFrame:
     """Sales by year and seller under an alias, the latest year and the largest first; here an undelivered item counts as not on time."""
-    per = items.groupBy(F.year("purchased_at").alias("year"), "seller_key", "order_id").agg(
+    per = spread(items, "order_id").groupBy(F.year("purchased_at").alias("year"), "seller_key", "order_id").agg(
         money(F.sum("gross_amount")).alias("gmv"), F.count("*").alias("n"), F.count_if("is_delivered_on_time").alias("on_time"), F.sum("delivery_delay_days").alias("delay"), F.count("delivery_delay_days").alias("delays"),
     )
     rolled = per.groupBy("year", "seller_key").agg(

@@ -374,7 +374,7 @@ def test_scd2_meets_without_a_join(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("name", ["seller_risk_class"])
+@pytest.mark.parametrize("name", ["seller_risk_class", "mart_seller_scorecard", "seller_performance", "export_sellers"])
 def test_parts_follow_the_size(spark, monkeypatch, name):
     """Shuffles of items have as many parts as the files ask for, however few the session has; the results stay."""
 
